@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from skein.llm import bitplane, chat_format, language_id, piece_bpe
+from skein.llm import bitplane, chat_format, decontaminate, html_tree, interpolated_lm, language_id, line_templates, minhash, piece_bpe, pq_dedup
 
 PIECES, BYTES = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")
 
@@ -18,26 +18,54 @@ def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_tree(spark, sf_dir):
+    return html_tree.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op2_sentencepiece(spark, sf_dir):
     return piece_bpe.digest_documents(table(spark, sf_dir, "documents"), PIECES)
 
 
+def op3_decontaminate(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_bit_planes(spark, sf_dir):
     return bitplane.round_trip(table(spark, sf_dir, "documents"), BYTES)
 
 
+def op5_pq_dedup(spark, sf_dir):
+    return pq_dedup.link(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op6_interpolated_lm(spark, sf_dir):
+    return interpolated_lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_chat_format(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
     return chat_format.format_conversations(turns.unionByName(probe), BYTES)
 
 
+def op8_minhash(spark, sf_dir):
+    return minhash.link(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_language_id(spark, sf_dir):
     return language_id.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+def op10_line_templates(spark, sf_dir):
+    return line_templates.dedup_lines(table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
-    own = [op2_sentencepiece, op4_bit_planes, op7_chat_format, op9_language_id]
+    own = [op1_html_tree, op2_sentencepiece, op3_decontaminate, op4_bit_planes, op5_pq_dedup, op6_interpolated_lm, op7_chat_format, op8_minhash, op9_language_id, op10_line_templates, pipeline]
     return {f.__name__: f for f in own}
 
 
