@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from skein.plans import base, ingest, retrieval  # noqa: F401
+
 
 def queries():
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(base.ORACLES)
 
 
 def entry(spark, sf_dir):
-    raise NotImplementedError
+    """The flagship query: hybrid search with fusion, policy and evidence."""
+    return base.QUERIES["hybrid_search"](spark, sf_dir)
