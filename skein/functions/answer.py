@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from skein.functions.text import contains_any, sentences
+from skein.functions.text import contains_any, let, sentences, strip
 
 _LINK = r"\[([^\]]*)\]\([^)]*\)"
 
@@ -68,10 +68,10 @@ def strip_markdown(text: Column | str) -> Column:
 
 def dedupe_sentences(text: Column | str) -> Column:
     """The first of equal sentences stays (case and white space don't tell them apart)."""
-    parts = sentences(text)
-    keys = F.transform(parts, lambda s: F.regexp_replace(F.lower(s), r"\s+", " "))
-    kept = F.filter(parts, lambda s, i: F.array_position(keys, F.get(keys, i)) == i + 1)
-    return F.when(F.size(parts) > 0, F.array_join(kept, " ")).otherwise(F.trim(_c(text)))
+    key = lambda s: F.regexp_replace(F.lower(s), r"\s+", " ")
+    first = lambda parts, keys: F.filter(parts, lambda s, i: F.array_position(keys, F.get(keys, i)) == i + 1)
+    kept = let(sentences(text), lambda parts: let(F.transform(parts, key), lambda keys: F.array_join(first(parts, keys), " ")))
+    return F.when(kept != "", kept).otherwise(F.trim(_c(text)))
 
 
 def drop_sentences(text: Column | str, banned: Sequence[str]) -> tuple[Column, Column]:
@@ -135,11 +135,11 @@ def limit_words(text: Column | str, most: int) -> tuple[Column, Column]:
 def finish(text: Column | str) -> tuple[Column, Column]:
     """A text that ends in punctuation: cut at the last sentence if at least 55 % stays, else
     without the last word and with a full stop. And whether it was changed."""
-    t = F.trim(_c(text))
+    t = strip(text)
     stop = F.length(t) - F.length(F.regexp_extract(t, r"(?s)^.*[.!?](.*)$", 1))
     words = F.filter(F.split(t, r"\s+"), lambda w: w != "")
     bare = F.regexp_replace(F.array_join(F.slice(words, F.lit(1), F.greatest(F.lit(0), F.size(words) - 1)), " "), "[,;:-]+$", "")
-    done = (t == "") | t.rlike("[.!?]$")
+    done = (t == "") | t.rlike(r"[.!?]\z")
     out = F.when(done, t).when(t.rlike("[.!?]") & (stop - 1 >= (F.length(t) * 0.55).cast("int")), F.trim(F.substr(t, F.lit(1), stop)))
     return out.when((F.size(words) > 1) & (bare != ""), F.concat(bare, F.lit("."))).otherwise(F.concat(t, F.lit("."))), ~done
 

@@ -29,6 +29,14 @@ def fuzzy_match(a: Column, b: Column) -> Column:
     return (F.lower(a) == F.lower(b)) | (x == y) | ((F.length(x) > 2) & (F.length(y) > 2) & (F.contains(x, y) | F.contains(y, x)))
 
 
+def _like(word: str):
+    return lambda x: fuzzy_match(x, F.lit(word))
+
+
+def _place_of(word: str):
+    return lambda x, i: F.when(fuzzy_match(x, F.lit(word)), i + 1)
+
+
 def words_of(text: Column | str) -> Column:
     return F.filter(F.split(F.lower(F.trim(_c(text))), r"\s+"), lambda w: w != "")
 
@@ -40,7 +48,7 @@ def stop_phrase(text: Column | str, phrases: Sequence[str], most_words: int = 4)
     for p in phrases:
         every = F.lit(True)
         for w in p.split():
-            every = every & F.exists(words, lambda x, w=w: fuzzy_match(x, F.lit(w)))
+            every = every & F.exists(words, _like(w))
         out = out.when(every & (F.size(words) <= most_words) & (F.size(words) > 0), F.lit(p))
     return out
 
@@ -53,7 +61,7 @@ def wake_word(text: Column | str, phrase: str, share: float = 0.8) -> tuple[Colu
     start = F.struct(F.lit(0).alias("hits"), F.lit(0).alias("last"), F.array().cast("array<int>").alias("used"))
     state = start
     for w in wanted:
-        free = F.filter(F.transform(words, lambda x, i, w=w: F.when(fuzzy_match(x, F.lit(w)), i + 1)), lambda i: i.isNotNull())
+        free = F.filter(F.transform(words, _place_of(w)), lambda i: i.isNotNull())
         at = F.array_min(F.array_except(free, state["used"]))
         state = F.struct((state["hits"] + at.isNotNull().cast("int")).alias("hits"), F.greatest(state["last"], F.coalesce(at, F.lit(0))).alias("last"), F.when(at.isNotNull(), F.array_append(state["used"], at)).otherwise(state["used"]).alias("used"))
     found = state["hits"] >= max(1, int(share * len(wanted)))

@@ -19,6 +19,17 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once a row, however often the body (or a lambda
+    in it) uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def strip(text: Column | str) -> Column:
+    """Without white space at either end."""
+    return F.regexp_replace(_c(text), r"^\s+|\s+\z", "")
+
+
 def words_in(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 

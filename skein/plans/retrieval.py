@@ -260,13 +260,14 @@ def gold(spark, d) -> DataFrame:
     """(query_id, doc_id) of documents that hold a query's first 60 characters; a null doc_id
     for each query. Pairs of words find the candidates, so it is an equi join."""
     words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    pairs = lambda t: F.array_distinct(F.zip_with(t, F.slice(t, F.lit(2), F.greatest(F.lit(0), F.size(t) - 1)), lambda x, y: F.xxhash64(x, F.lit(" "), y)))
+    shifted = lambda t: F.slice(t, F.lit(2), F.greatest(F.lit(0), F.size(t) - 1))
+    pairs = lambda c: T.let(words(c), lambda t: F.array_distinct(F.zip_with(t, shifted(t), lambda x, y: F.xxhash64(x, F.lit(" "), y))))
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("head"))
     # the second and third word are whole in any document that holds the head
     probe = b.withColumn("s", F.xxhash64(F.get(words(F.col("head")), F.lit(1)), F.lit(" "), F.get(words(F.col("head")), F.lit(2))))
-    docs = _docs(spark, d).select("doc_id", "text", F.explode(pairs(words(F.col("text")))).alias("s"))
-    asked = docs.join(F.broadcast(probe) if table(spark, d, "benchmark").count() < 10_000 else probe, "s")
-    hits = asked.filter(F.contains("text", "head")).select("query_id", "doc_id").distinct()
+    docs = _docs(spark, d).select("doc_id", "text")
+    found = docs.select("doc_id", F.explode(pairs(F.col("text"))).alias("s")).join(probe, "s").select("query_id", "doc_id", "head")
+    hits = found.join(docs, "doc_id").filter(F.contains("text", "head")).select("query_id", "doc_id").distinct()
     return hits.unionByName(b.select("query_id", F.lit(None).cast(LONG).alias("doc_id")))
 
 
