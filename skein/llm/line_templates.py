@@ -1,7 +1,7 @@
 """Line dedup by a log-template tree, in DataFrame functions only.
 
 A line's tokens are its runs without white space. Tokens that hold a digit are variable
-fields and become ``<*>``; what is left is the line's template. Templates hang in a tree of
+fields and become ``<*>``; that makes the line's template. Templates hang in a tree of
 fixed depth: number of tokens, then the leading tokens. Where all lines of a leaf agree in at
 least three of four equal parts of their tails, the leaf is one template whose remaining part
 is a variable field too.
@@ -14,8 +14,8 @@ operator's work. All lines of recurring templates are dropped; other lines, empt
 included, stay as they are and in order.
 
 Edge cases: a null text stays null, an empty one empty; empty lines are never dropped;
-rows with one id count as one document; a null id is a document of its own; an empty table
-gives an empty result; other columns are kept by ``drop_lines``.
+a document is a row's id and text, so repeated rows count once; rows with null ids count by
+their texts; an empty table gives an empty result; other columns are kept by ``drop_lines``.
 """
 
 from __future__ import annotations
@@ -28,61 +28,70 @@ from skein.llm.common import materialize
 MIN_DOCS, LEADING, PARTS, AGREEING = 3, 3, 4, 3
 
 
-def tokens(line: Column) -> Column:
-    """Tokens of a line, with ``<*>`` for those that hold a digit."""
-    return F.filter(F.split(F.regexp_replace(line, r"[^\s0-9]*[0-9]\S*", "<*>"), r"\s+"), lambda x: x != "")
+#: Texts without any of this are their own templates line by line.
+_TO_CLEAN = r"[0-9\t\r\x0B\f]|  |(?m:^ | $)"
 
 
-def key_of(tokens: Column) -> Column:
-    """Template of a line: 64-bit hash of its tokens; null for a line without any."""
-    return F.when(F.size(tokens) > 0, F.xxhash64(F.array_join(tokens, " ")))
+def template(line: Column) -> Column:
+    """A line with ``<*>`` for tokens that hold a digit, one space between tokens."""
+    return F.trim(F.regexp_replace(F.regexp_replace(line, r"[^\s0-9]*[0-9]\S*", "<*>"), r"\s+", " "))
 
 
-def _parsed(docs: DataFrame, lead: int) -> DataFrame:
-    """A row per line with tokens: id, doc (hash of id), key, near (hash of its neighbours'
-    keys), leaf (null for lines that are too short) and hashes of the tail's parts."""
-    lines = docs.select("doc_id", F.transform(F.split("text", "\n"), tokens).alias("lines"))
+def _head(text: Column, n: Column | int) -> Column:
+    """The first n tokens."""
+    return F.call_function("substring_index", text, F.lit(" "), n if isinstance(n, Column) else F.lit(n))
+
 
-    def line(t: Column) -> Column:
-        n, tail = F.size(t), F.size(t) - lead
-        cut = [(tail * j / PARTS).cast("int") for j in range(PARTS + 1)]
-        parts = [F.when(tail >= PARTS, F.hash(F.array_join(F.slice(t, lead + 1 + cut[j], cut[j + 1] - cut[j]), " "))).alias(f"p{j}") for j in range(PARTS)]
-        return F.struct(key_of(t).alias("key"), F.when(tail >= PARTS, F.xxhash64(n, F.array_join(F.slice(t, 1, lead), " "))).alias("leaf"), *parts)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Adds ``__doc``: a hash of a row's id and text."""
+    return docs.withColumn("__doc", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("\n"), F.col("text")))
 
-    parsed = lines.select("doc_id", F.filter(F.transform("lines", line), lambda x: x["key"].isNotNull()).alias("lines"))
-    around = lambda x, i: F.struct(x.alias("line"), F.xxhash64(F.get(F.col("lines"), i - 1)["key"], F.lit("<"), F.get(F.col("lines"), i + 1)["key"]).alias("near"))
-    rows = parsed.select("doc_id", F.explode(F.transform("lines", around)).alias("x"))
-    return rows.select("doc_id", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias("doc"), "x.near", "x.line.*")
+
+def _parsed(docs: DataFrame, lead: int) -> DataFrame:
+    """A row per line with tokens: doc, pos (its number), key (hash of its template), near (hash
+    of the templates around it), leaf (null for short lines) and hashes of the tail's parts."""
+    split = F.split("text", "\n")
+    cleaned = F.transform(split, lambda x, i: F.struct(i.alias("pos"), template(x).alias("t")))
+    plain = F.transform(split, lambda x, i: F.struct(i.alias("pos"), x.alias("t")))
+    lines = F.filter(F.when(F.col("text").rlike(_TO_CLEAN), cleaned).otherwise(plain), lambda x: x["t"] != "")
+    around = lambda x, i: F.struct(x["pos"].alias("pos"), x["t"].alias("t"), F.xxhash64(F.get(F.col("lines"), i - 1)["t"], F.lit("<"), F.get(F.col("lines"), i + 1)["t"]).alias("near"))
+    rows = _keyed(docs).select("__doc", lines.alias("lines")).select(F.col("__doc").alias("doc"), F.explode(F.transform("lines", around)).alias("x")).select("doc", "x.*")
+    rows = rows.withColumn("n", F.length("t") - F.length(F.replace("t", F.lit(" "), F.lit(""))) + 1)
+    tail, t = F.col("n") - lead, F.col("t")
+    rows = rows.withColumns({f"c{j}": F.length(_head(t, lead + F.floor(tail * j / PARTS).cast("int"))) for j in range(PARTS + 1)})
+    long = tail >= PARTS
+    parts = [F.when(long, F.hash(F.substr(t, F.col(f"c{j}") + 1, F.col(f"c{j + 1}") - F.col(f"c{j}")))).alias(f"p{j}") for j in range(PARTS)]
+    return rows.select("doc", "pos", "near", F.xxhash64("t").alias("key"), F.when(long, F.xxhash64("n", _head(t, lead))).alias("leaf"), *parts)
 
 
 def _recurring(held: DataFrame, by: str, min_docs: int) -> DataFrame:
     """Values of ``by`` that recur. held: (by, doc, near), a row for each line."""
-    # once per document; a document's least neighbourhood stands for it
-    once = held.groupBy(by, "doc").agg(F.min("near").alias("near"))
+    # once per document, with the neighbours of the line's first place in it
+    once = held.groupBy(by, "doc").agg(F.min_by("near", "pos").alias("near"))
     among = once.groupBy(by, "near").agg(F.count("*").alias("n"))
     found = among.groupBy(by).agg(F.sum("n").alias("docs"), F.count("*").alias("nears"))
     return found.filter((F.col("docs") >= min_docs) & (F.col("nears") >= min_docs) & (2 * F.col("nears") >= F.col("docs"))).select(by)
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, lead: int = LEADING) -> DataFrame:
-    """(doc_id, keys): for each document that has any, the templates to drop from it."""
-    rows = _parsed(docs.select("doc_id", "text"), lead)
+    """(doc, places): for each document that has any, the numbers of the lines to drop."""
+    rows = materialize(_parsed(docs.select("doc_id", "text"), lead), "lines")
     exact = _recurring(rows, "key", min_docs)
     agree = sum(((F.min(f"p{j}") == F.max(f"p{j}")).cast("int") for j in range(PARTS)), F.lit(0))
     leaves = rows.filter("leaf is not null").groupBy("leaf").agg(agree.alias("agree"), F.count("*").alias("n"), (F.min("key") < F.max("key")).alias("varies"))
     leaves = leaves.filter((F.col("agree") >= AGREEING) & F.col("varies") & (F.col("n") >= min_docs)).select("leaf")
-    general = materialize(rows.join(leaves, "leaf").select("leaf", "doc_id", "doc", "near", "key"), "leaves")
-    general = general.join(_recurring(general, "leaf", min_docs), "leaf", "left_semi").select("doc_id", "key")
-    found = rows.select("doc_id", "key").join(exact, "key", "left_semi").unionByName(general)
-    return found.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+    general = materialize(rows.select("leaf", "doc", "pos", "near").join(leaves, "leaf"), "leaves")
+    general = general.join(_recurring(general, "leaf", min_docs), "leaf", "left_semi").select("doc", "pos")
+    found = rows.select("key", "doc", "pos").join(exact, "key", "left_semi").select("doc", "pos").unionByName(general)
+    return found.groupBy("doc").agg(F.collect_set("pos").alias("places"))
 
 
 def mark_lines(docs: DataFrame, min_docs: int = MIN_DOCS, lead: int = LEADING) -> DataFrame:
     """``docs`` with the text that is left, and how many lines it had and lost."""
-    drop = recurring_lines(docs, min_docs, lead).select(F.col("doc_id").alias("__id"), F.col("keys").alias("__keys"))
-    out = docs.join(drop, docs["doc_id"].eqNullSafe(drop["__id"]), "left")
+    drop = recurring_lines(docs, min_docs, lead).select(F.col("doc").alias("__drop"), F.col("places").alias("__places"))
+    out = _keyed(docs).join(drop, F.col("__doc") == F.col("__drop"), "left")
     lines = F.split("text", "\n")
-    left = F.when(F.col("__keys").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.coalesce(F.array_contains("__keys", key_of(tokens(x))), F.lit(False))))
+    left = F.when(F.col("__places").isNull(), lines).otherwise(F.filter(lines, lambda x, i: ~F.array_contains("__places", i)))
     out = out.select(*[f"`{c}`" for c in docs.columns], lines.alias("__lines"), left.alias("__left"))
     counts = [F.coalesce(F.size("__lines"), F.lit(0)).cast("long").alias("n_lines"), (F.size("__lines") - F.size("__left")).cast("long").alias("n_dropped")]
     return out.select(*[F.array_join("__left", "\n").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns], *counts)
