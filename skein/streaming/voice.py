@@ -57,7 +57,8 @@ def active_sessions(utterances: DataFrame, wake: str, stop: tuple[str, ...], idl
         if out:
             yield pd.DataFrame({"stream_id": key[0], "kind": [k for k, _ in out], "text": [t for _, t in out]})
 
-    return utterances.groupBy("stream_id").applyInPandasWithState(run, "stream_id string, kind string, text string", "begun long, last long", "append", GroupStateTimeout.NoTimeout)
+    kind = utterances.schema["stream_id"].dataType.simpleString()
+    return utterances.groupBy("stream_id").applyInPandasWithState(run, f"stream_id {kind}, kind string, text string", "begun long, last long", "append", GroupStateTimeout.NoTimeout)
 
 
 def remembered(turns: DataFrame, most: int = 10) -> DataFrame:
