@@ -1,7 +1,8 @@
 """Line dedup by a log-template tree, in DataFrame functions only.
 
 A line's tokens are its runs without white space. Tokens that hold a digit are variable
-fields and become ``<*>``; that makes the line's template. Templates hang in a tree of
+fields and become ``<*>``; that makes the line's template (lines most of whose tokens are
+fields have none). Templates hang in a tree of
 fixed depth: number of tokens, then the leading tokens. Where all lines of a leaf agree in at
 least three of four equal parts of their tails, the leaf is one template whose remaining part
 is a variable field too.
@@ -48,7 +49,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _parsed(docs: DataFrame, lead: int) -> DataFrame:
-    """A row per line with tokens: doc, pos (its number), key (hash of its template), near (hash
+    """A row per line with a template: doc, pos (its number), key (hash of its template), near (hash
     of the templates around it), leaf (null for short lines) and hashes of the tail's parts."""
     split = F.split("text", "\n")
     cleaned = F.transform(split, lambda x, i: F.struct(i.alias("pos"), template(x).alias("t")))
@@ -57,6 +58,9 @@ def _parsed(docs: DataFrame, lead: int) -> DataFrame:
     around = lambda x, i: F.struct(x["pos"].alias("pos"), x["t"].alias("t"), F.xxhash64(F.get(F.col("lines"), i - 1)["t"], F.lit("<"), F.get(F.col("lines"), i + 1)["t"]).alias("near"))
     rows = _keyed(docs).select("__doc", lines.alias("lines")).select(F.col("__doc").alias("doc"), F.explode(F.transform("lines", around)).alias("x")).select("doc", "x.*")
     rows = rows.withColumn("n", F.length("t") - F.length(F.replace("t", F.lit(" "), F.lit(""))) + 1)
+    # a template is more than fields: at least half of its tokens are fixed
+    fields = (F.length("t") - F.length(F.replace("t", F.lit("<*>"), F.lit("")))) / 3
+    rows = rows.filter(2 * fields <= F.col("n"))
     tail, t = F.col("n") - lead, F.col("t")
     rows = rows.withColumns({f"c{j}": F.length(_head(t, lead + F.floor(tail * j / PARTS).cast("int"))) for j in range(PARTS + 1)})
     long = tail >= PARTS

@@ -72,7 +72,7 @@ def queries():
 _LINES = """with d as (select doc_id, text, list_transform(string_split(text, chr(10)), lambda l: trim(regexp_replace(regexp_replace(l, '[^\\s0-9]*[0-9]\\S*', '<*>', 'g'), '\\s+', ' ', 'g'))) ms from documents),
 l as (select doc_id, unnest(range(len(ms))) pos, unnest(ms) t from d),
 k as (select doc_id, pos, t, coalesce(lag(t) over w, chr(1)) || chr(2) || coalesce(lead(t) over w, chr(1)) near, string_split(t, ' ') w from l where t <> '' window w as (partition by doc_id order by pos)),
-r as (select *, len(w) - 3 tail, case when len(w) >= 7 then len(w) || ' ' || array_to_string(w[1:3], ' ') end leaf from k),
+r as (select *, len(w) - 3 tail, case when len(w) >= 7 then len(w) || ' ' || array_to_string(w[1:3], ' ') end leaf from k where (length(t) - length(replace(t, '<*>', ''))) * 2 <= 3 * len(w)),
 q as (select *, array_to_string(w[4:3 + tail // 4], ' ') p0, array_to_string(w[4 + tail // 4:3 + tail * 2 // 4], ' ') p1, array_to_string(w[4 + tail * 2 // 4:3 + tail * 3 // 4], ' ') p2, array_to_string(w[4 + tail * 3 // 4:3 + tail], ' ') p3 from r),
 ke as (select t from (select t, doc_id, arg_min(near, pos) near from q group by t, doc_id) group by t having count(*) >= 3 and count(distinct near) >= 3 and 2 * count(distinct near) >= count(*)),
 lv as (select leaf from q where leaf is not null group by leaf having count(*) >= 3 and min(t) < max(t) and (min(p0) = max(p0))::int + (min(p1) = max(p1))::int + (min(p2) = max(p2))::int + (min(p3) = max(p3))::int >= 3),
