@@ -9,8 +9,6 @@ from __future__ import annotations
 
 import json
 import re
-import sys
-import unicodedata
 
 import numpy as np
 import regex
@@ -21,9 +19,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: The same for the standard library's faster matcher, where letters are word characters that
 #: are neither digits nor the underscore. It holds for texts without ``_ODD`` characters.
 _FAST = re.compile(r" ?[^\W\d_]+|'(?:[stmd]|re|ve|ll)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
-#: Characters that the two matchers may class differently: numbers that aren't decimal digits,
-#: and controls that only one of them takes for white space.
-_ODD = re.compile("[\x1c-\x1f" + "".join(re.escape(c) for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No") or (c.isnumeric() and not c.isdecimal())) + "]").search
+#: All but Latin letters, digits, punctuation and controls that both matchers class alike
+#: (superscript digits, fractions and the separators U+001C to U+001F aren't among them).
+_ODD = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u02af]").search
 #: Pre-tokens held per worker; when full, the table starts anew. Longer ones aren't held.
 CACHE_ENTRIES, CACHE_CHARS = 500_000, 40
 
