@@ -1,8 +1,9 @@
-"""Byte-level BPE through the tokenizers library, one call per batch of new pre-tokens.
+"""Byte-level BPE through the tokenizers library's model, once per new pre-token.
 
 Merges never cross a pre-token, so a text's ids are those of its pre-tokens in order.
-Pre-tokens are cut here by the vocabulary's own pattern and encoded by the library once per
-worker. A text that holds an added token's string goes to the library whole.
+Pre-tokens are cut here by the vocabulary's own pattern, written in the vocabulary's byte
+characters and encoded by the library's model once per worker. A text that holds an added
+token's string goes to the library whole.
 """
 
 from __future__ import annotations
@@ -32,13 +33,22 @@ class ByteBpe:
         self.special = [t["content"] for t in json.load(open(file, encoding="utf-8"))["added_tokens"]]
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         self.slow = regex.compile(PATTERN).findall
+        self.model = self.library.model
         self.known: dict[str, bytes] = {}
+        # bytes are written as printable characters: those that are printable as themselves, others from U+0100 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.char_of = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
         self._bytes: list[bytes] | None = None
 
     def cut(self, text: str) -> list[str]:
         """The text's pre-tokens."""
         return _FAST(text) if text.isascii() or not _ODD(text) else self.slow(text)
 
+    def _piece(self, text: str) -> bytes:
+        """Ids of one pre-token."""
+        shown = text.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.char_of)
+        return np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         whole = [t is not None and any(s in t for s in self.special) for t in texts]
@@ -46,9 +56,8 @@ class ByteBpe:
         if len(self.known) > CACHE_ENTRIES:
             self.known.clear()
         table, extra = self.known, {}
-        if missing := list({s for x in cut for s in x}.difference(table)):
-            for s, found in zip(missing, self.library.encode_batch(missing, add_special_tokens=False)):
-                (table if len(s) <= CACHE_CHARS else extra)[s] = np.array(found.ids, "<u4").tobytes()
+        for s in {s for x in cut for s in x}.difference(table):
+            (table if len(s) <= CACHE_CHARS else extra)[s] = self._piece(s)
         out = []
         for t, w, x in zip(texts, whole, cut):
             if w:
@@ -65,9 +74,7 @@ class ByteBpe:
     def token_bytes(self) -> list[bytes]:
         """The bytes that each id stands for."""
         if self._bytes is None:
-            # bytes are written as printable characters: those that are printable as themselves, others from U+0100 on
-            plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-            shown = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
+            shown = {c: b for b, c in self.char_of.items()}
             special = set(self.special)
             names = ((self.library.id_to_token(i) or "") for i in range(self.size))
             self._bytes = [x.encode() if x in special else bytes(shown[c] for c in x) for x in names]
