@@ -9,8 +9,9 @@ Skew. Documents with equal shingle sets are one class with one representative, s
 copies meet once. Inside a bucket no pairs are spelled out: each bucket's members are
 compared with one leader, the member that shares the most bucket places (the original of a
 group of near copies); after that only buckets whose members are still in different
-components are open, and they go on with their next leader until none is left. So every
-round's pairs are as many as the bucket places, and no link between components is lost.
+components are open, and they go on with their next leaders, at most ``LEADERS`` a round,
+until none is left. Members of one component aren't compared any more. So a round's pairs
+are at most ``LEADERS`` times the bucket places, and no link between components is lost.
 
 With 24 bands of 5 rows a pair at 0.85 goes unseen with probability 8e-7.
 
@@ -25,7 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.llm.common import bounded_batches, materialize, mix64, shingle_hashes, slices, word_hashes
@@ -34,6 +35,8 @@ from skein.llm.components import components
 BANDS, ROWS = 24, 5
 #: Shingles that are permuted at once (bounds memory and fits caches).
 STRIP = 2048
+#: Members of a bucket that the others are compared with in a round, after the first.
+LEADERS = 32
 #: A pair whose signatures agree in less than this share cannot reach 0.85 (five deviations).
 FLOOR = 0.68
 
@@ -150,27 +153,30 @@ def link(docs: DataFrame, percent: int = 85, shingle: int = 5) -> DataFrame:
     places = materialize(places.join(shared, "key").select("key", "rep", "n"), "places")
     weight = places.groupBy("rep").agg(F.sum("n").alias("weight"))
     open_ = materialize(places.join(weight, "rep").select("key", "rep", "weight", F.col("rep").alias("component")), "open")
-    edges, seen = None, None
+    edges, seen, count = None, None, 1
     while True:
-        leaders = open_.filter("weight is not null").groupBy("key").agg(F.max_by(F.struct("rep", "component"), F.struct("weight", -F.col("rep"))).alias("l"), F.min("component").alias("low"), F.max("component").alias("high"))
-        leaders = leaders.select("key", F.col("l.rep").alias("leader"), F.col("l.component").alias("home"))
-        met = open_.join(leaders, "key")
-        pairs = met.filter("component <> home").select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")).distinct()
+        order = Window.partitionBy("key").orderBy(F.desc("weight"), "rep")
+        leaders = open_.filter("weight is not null").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= count)
+        leaders = materialize(leaders.select("key", F.col("rep").alias("leader"), F.col("component").alias("home")), "leaders")
+        met = open_.join(leaders, "key").filter("component <> home")
+        pairs = met.select(F.least("leader", "rep").alias("a"), F.greatest("leader", "rep").alias("b")).distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
-        good = _agreeing(pairs, signs)
-        new = materialize(_verified(materialize(good, "agreeing"), docs, percent, shingle), "links")
+        new = materialize(_verified(materialize(_agreeing(pairs, signs), "agreeing"), docs, percent, shingle), "links")
         seen = pairs if seen is None else seen.unionByName(pairs)
-        edges = new if edges is None else edges.unionByName(new)
-        found = components(edges)
-        # a leader has met all members of its bucket: it leads no more, but stays one of them
-        left = met.select("key", "rep", F.when(F.col("rep") != F.col("leader"), F.col("weight")).alias("weight"))
+        if edges is None or not new.isEmpty():
+            edges = new if edges is None else edges.unionByName(new)
+            found = components(edges)
+        # leaders have met all members of their bucket: they lead no more, but stay members
+        led = leaders.select("key", F.col("leader").alias("rep"), F.lit(True).alias("led"))
+        left = open_.drop("component").join(led, ["key", "rep"], "left").select("key", "rep", F.when(F.col("led").isNull(), F.col("weight")).alias("weight"))
         left = left.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "weight", F.coalesce("component", "rep").alias("component"))
         going = left.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("weight").alias("more")).filter("low < high and more > 0")
         open_ = materialize(left.join(going, "key", "left_semi"), "open")
         if open_.isEmpty():
             break
+        count = LEADERS
     joined = of.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component"))
     out = joined.select("doc_id", "n_shingles", F.col("component").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
