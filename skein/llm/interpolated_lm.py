@@ -31,7 +31,7 @@ from skein.llm.common import SLICE_BYTES, bounded_batches, fold, materialize, mi
 
 ORDER = 3
 #: Text bytes in a block, and text bytes per partition of n-grams.
-BLOCK_BYTES, PART_BYTES = 4 << 20, 16 << 20
+BLOCK_BYTES, PART_BYTES = 4 << 20, 4 << 20
 END, BEGIN = np.uint64(0x0E2D), np.uint64(0xBE61)
 #: Frequency buckets per order; log2 steps of the histogram that the weights are fitted on.
 BUCKETS, STEP = 12, 2.0
