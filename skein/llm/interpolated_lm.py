@@ -12,7 +12,7 @@ the order from its texts. Frequent n-grams cost one entry per block, so they mak
 key, and nothing but the weights and a histogram of fixed resolution reaches the driver.
 
 Tokens are words (runs without ``\\x20``, ``\\x09-\\x0D``; A-Z lower-cased) and one end;
-n-grams are told apart by 62-bit hashes.
+n-grams of an order are told apart by 56-bit hashes.
 
 Edge cases: a null or empty text is the end alone; null ids count as the empty id text;
 repeated rows count each; without training rows N = V = 0 and every score is 0; other
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import SLICE_BYTES, bounded_batches, fold, materialize, mix64, slices, word_hashes
 
-ORDER = 3
+ORDER = 2
 #: Text bytes in a block, and text bytes per partition of n-grams.
 BLOCK_BYTES, PART_BYTES = 4 << 20, 4 << 20
 END, BEGIN = np.uint64(0x0E2D), np.uint64(0xBE61)
@@ -98,8 +98,8 @@ def _tokens(texts: list) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _grams(tokens: np.ndarray, edges: np.ndarray, order: int) -> list[np.ndarray]:
-    """For each order, the n-gram that ends at each token (padded with begins); the two low
-    bits tell the order."""
+    """For each order, the 56-bit hash of the n-gram that ends at each token (padded with
+    begins)."""
     starts = np.repeat(edges[:-1], np.diff(edges))
     place = np.arange(len(tokens))
     out = []
@@ -109,7 +109,7 @@ def _grams(tokens: np.ndarray, edges: np.ndarray, order: int) -> list[np.ndarray
             back = place - (n - 1)
             word = np.where(back >= starts, tokens[np.maximum(back, 0)], BEGIN)
             h = mix64(h ^ mix64(word + np.uint64(n)))
-        out.append((h & ~np.uint64(3)) | np.uint64(n))
+        out.append(h & ~np.uint64(255))
     return out
 
 
@@ -123,33 +123,28 @@ def _whole(data: bytes, kind: str) -> np.ndarray:
 
 
 def _requests(block: int, payload: bytes, order: int, bits: int):
-    """(part, block, keys, counts) for the parts that the block has n-grams in."""
+    """(part, block, keys, counts) for the parts that the block has n-grams in. A part is an
+    order and the top bits of its n-grams' hashes, so parts in order are n-grams in order."""
     _, held, texts = _unpacked(payload)
     tokens, edges = _tokens(texts)
     training = np.repeat(~held, np.diff(edges))
-    keys, counts = [], []
-    for g in _grams(tokens, edges, order):
-        k, place = np.unique(g, return_inverse=True)
-        keys.append(k)
-        counts.append(np.bincount(place, weights=training, minlength=len(k)).astype("<u4"))
-    # begins are counted once per training document; they are contexts only
-    keys, counts = np.concatenate(keys), np.concatenate(counts)
-    at = np.argsort(keys)
-    keys, counts = keys[at], counts[at]
-    part = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-    cuts = np.flatnonzero(np.diff(part)) + 1
-    for a, b in zip([0, *cuts], [*cuts, len(keys)]):
-        yield int(part[a]), block, _planes(np.diff(keys[a:b], prepend=np.uint64(0))), _planes(counts[a:b])
-
-
-def _answers(table: pa.Table, docs: int) -> pa.Table:
+    for n, g in enumerate(_grams(tokens, edges, order), 1):
+        keys, place = np.unique(g, return_inverse=True)
+        counts = np.bincount(place, weights=training, minlength=len(keys)).astype("<u4")
+        part = (keys >> np.uint64(64 - bits)).astype(np.int64)
+        cuts = np.flatnonzero(np.diff(part)) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(keys)]):
+            yield n << bits | int(part[a]), block, _planes(np.diff(keys[a:b], prepend=np.uint64(0))), _planes(counts[a:b])
+
+
+def _answers(table: pa.Table, bits: int) -> pa.Table:
     """Total counts of a part's n-grams, sent back in each block's order; one more row
     (block -1) has the part's distinct and total training tokens."""
     keys = [np.cumsum(_whole(k, "<u8"), dtype=np.uint64) for k in table.column("keys").to_pylist()]
     every, place = np.unique(np.concatenate(keys), return_inverse=True)
     counts = np.concatenate([_whole(c, "<u4") for c in table.column("counts").to_pylist()])
     total = np.bincount(place, weights=counts, minlength=len(every)).astype("<u8")
-    words = ((every & np.uint64(3)) == 1) & (total > 0)
+    words = (total > 0) & (table.column("part")[0].as_py() >> bits == 1)
     edges = np.cumsum([0, *map(len, keys)])
     out = [_planes(total[place[a:b]]) for a, b in zip(edges, edges[1:])]
     ids = table.column("block").to_pylist()
@@ -164,10 +159,12 @@ class _Counts:
     def __init__(self, payload: bytes, answers: list[tuple[int, bytes]], order: int, total: int, documents: int) -> None:
         self.ids, self.held, texts = _unpacked(payload)
         tokens, self.edges = _tokens(texts)
-        grams = _grams(tokens, self.edges, order)
-        keys = np.unique(np.concatenate(grams))
-        known = np.concatenate([_whole(d, "<u8") for _, d in sorted(answers)])
-        self.grams = [known[np.searchsorted(keys, g)].astype(np.float64) for g in grams]
+        known = np.concatenate([_whole(d, "<u8") for _, d in sorted(answers)]).astype(np.float64)
+        self.grams, at = [], 0
+        for g in _grams(tokens, self.edges, order):
+            keys, place = np.unique(g, return_inverse=True)
+            self.grams.append(known[at : at + len(keys)][place])
+            at += len(keys)
         first = np.zeros(len(tokens), bool)
         first[self.edges[:-1]] = True
         self.contexts = [np.full(len(tokens), float(total))]
@@ -229,7 +226,7 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
                     yield pa.record_batch([pa.array([part], pa.int32()), pa.array([block], pa.int64()), pa.array([keys], pa.binary()), pa.array([counts], pa.binary())], names=["part", "block", "keys", "counts"])
 
     asked = packed.select("block", "payload").mapInArrow(request, "part int, block long, keys binary, counts binary")
-    answers = asked.groupBy("part").applyInArrow(lambda t: _answers(t, documents), "block long, part int, data binary")
+    answers = asked.groupBy("part").applyInArrow(lambda t: _answers(t, bits), "block long, part int, data binary")
     answers = materialize(answers, "counts")
     vocabulary = total = 0
     for row in answers.filter("block = -1").select("data").toLocalIterator():  # a row per part
