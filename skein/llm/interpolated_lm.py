@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import SLICE_BYTES, bounded_batches, fold, materialize, mix64, slices, word_hashes
 
-ORDER = 2
+ORDER = 3
 #: Text bytes in a block, and text bytes per partition of n-grams.
 BLOCK_BYTES, PART_BYTES = 4 << 20, 4 << 20
 END, BEGIN = np.uint64(0x0E2D), np.uint64(0xBE61)
@@ -114,12 +114,12 @@ def _grams(tokens: np.ndarray, edges: np.ndarray, order: int) -> list[np.ndarray
 
 
 def _planes(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
 
 
 def _whole(data: bytes, kind: str) -> np.ndarray:
     width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).reshape(-1)
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(width, -1).T).view(kind).reshape(-1)
 
 
 def _requests(block: int, payload: bytes, order: int, bits: int):

@@ -138,6 +138,19 @@ def test_scores_against_a_plain_count(spark, monkeypatch):
     assert empty.count() == 0
 
 
+def test_the_query_uses_trigrams(spark):
+    rng = random.Random(12)
+    docs = []
+    for i in range(80):
+        w = [rng.randrange(2), rng.randrange(2)]
+        for _ in range(60):  # only the two words before tell the next one
+            w.append(w[-1] ^ w[-2] if rng.random() < 0.98 else rng.randrange(2))
+        docs.append((i, " ".join("ab"[x] for x in w)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    total = lambda rows: sum(r.score for r in rows.collect())
+    assert total(interpolated_lm.score(df)) > 0.7 * total(interpolated_lm.score(df, 2))
+
+
 def test_the_model_is_a_distribution():
     """Over the vocabulary and one unknown word, probabilities after any context sum to 1."""
     rng = random.Random(3)
