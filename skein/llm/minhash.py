@@ -13,8 +13,9 @@ components are open, and they go on with their next leaders, at most ``LEADERS``
 until none is left. Members of one component aren't compared any more. So a round's pairs
 are at most ``LEADERS`` times the bucket places, and no link between components is lost.
 
-With 32 bands of 7 rows a pair at 0.85 goes unseen with probability 4e-6; documents that
-share a passage but not much else seldom share a band.
+The bands' shape follows from the percentage (``shape``): a pair at it goes unseen with
+probability 4e-6, at 0.85 with 32 bands of 7 rows; documents that share a passage but not
+much else seldom share a band.
 
 Edge cases: a document without words or with a null text has an empty set and links with
 nothing; one of fewer than five words has its whole sequence as one shingle; repeated rows
@@ -25,6 +26,8 @@ an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -38,12 +41,23 @@ BANDS, ROWS = 32, 7
 STRIP = 2048
 #: Members of a bucket that the others are compared with in a round, after the first.
 LEADERS = 64
-#: A pair whose signatures agree in less than this share cannot reach 0.85 (five deviations).
-FLOOR = 0.73
+#: Probability that a pair at the percentage shares no band, and coordinates at most.
+MISS, COORDINATES = 4.3e-6, 256
 
 SIGNED = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, coordinates binary"
 
 
+def shape(percent: int) -> tuple[int, int, float]:
+    """(bands, rows, floor) for links at ``percent``: the most rows a band whose bands fit in
+    ``COORDINATES`` coordinates. A pair whose signatures agree in less than the floor can't
+    reach the percentage (five deviations)."""
+    share = min(max(percent, 1), 99) / 100
+    bands = lambda rows: math.ceil(math.log(MISS) / math.log1p(-(share**rows)))
+    rows = max((r for r in range(1, COORDINATES + 1) if r * bands(r) <= COORDINATES), default=1)
+    size = rows * bands(rows)
+    return bands(rows), rows, max(0.0, math.floor(100 * (share - 5 * math.sqrt(share * (1 - share) / size))) / 100)
+
+
 def signature(shingles: np.ndarray, size: int = BANDS * ROWS) -> np.ndarray:
     """Circulant MinHash coordinates of a set of 64-bit shingle hashes."""
     first = (mix64(shingles) >> np.uint64(32)).astype(np.uint32)  # the first permutation
@@ -60,16 +74,17 @@ def signature(shingles: np.ndarray, size: int = BANDS * ROWS) -> np.ndarray:
     return least
 
 
-def band_keys(coordinates: np.ndarray) -> np.ndarray:
+def band_keys(coordinates: np.ndarray, rows: int = ROWS) -> np.ndarray:
     """One 64-bit key per band, different between bands."""
-    h = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for column in coordinates.reshape(BANDS, ROWS).T:
+    h = np.arange(1, len(coordinates) // rows + 1, dtype=np.uint64)
+    for column in coordinates.reshape(-1, rows).T:
         h = mix64(h ^ column.astype(np.uint64))
     return h
 
 
-def sign(docs: DataFrame, shingle: int = 5) -> DataFrame:
+def sign(docs: DataFrame, shingle: int = 5, percent: int = 85) -> DataFrame:
     """Per row: doc_id, size and two checksums of its shingle set, band keys, coordinates."""
+    n_bands, rows, _ = shape(percent)
     bounded_batches(docs.sparkSession)
 
     def run(batches):
@@ -83,8 +98,8 @@ def sign(docs: DataFrame, shingle: int = 5) -> DataFrame:
                     other = mix64(s ^ np.uint64(0xA5A5A5A5A5A5A5A5))
                     k1.append(np.bitwise_xor.reduce(other).astype(np.int64) if len(s) else 0)
                     k2.append(other.sum(dtype=np.uint64).astype(np.int64) if len(s) else 0)
-                    c = signature(s)
-                    bands.append(band_keys(c).astype(np.int64) if len(s) else [])
+                    c = signature(s, n_bands * rows)
+                    bands.append(band_keys(c, rows).astype(np.int64) if len(s) else [])
                     coordinates.append((c & np.uint32(255)).astype(np.uint8).tobytes() if len(s) else b"")
                 arrays = [part.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(coordinates, pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "k1", "k2", "bands", "coordinates"])
@@ -92,7 +107,7 @@ def sign(docs: DataFrame, shingle: int = 5) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, SIGNED)
 
 
-def _agreeing(pairs: DataFrame, signs: DataFrame) -> DataFrame:
+def _agreeing(pairs: DataFrame, signs: DataFrame, floor: float) -> DataFrame:
     """The pairs (a, b) whose signatures agree well enough to be compared exactly."""
     a = signs.select(F.col("rep").alias("a"), F.col("coordinates").alias("x"))
     b = signs.select(F.col("rep").alias("b"), F.col("coordinates").alias("y"))
@@ -100,7 +115,7 @@ def _agreeing(pairs: DataFrame, signs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("x", "y"))
-            keep = pa.array((x == y).mean(1) >= FLOOR) if batch.num_rows else pa.array([], pa.bool_())
+            keep = pa.array((x == y).mean(1) >= floor) if batch.num_rows else pa.array([], pa.bool_())
             yield batch.select(["a", "b"]).filter(keep)
 
     return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
@@ -139,8 +154,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int, shingle: int) ->
 
 def link(docs: DataFrame, percent: int = 85, shingle: int = 5) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = materialize(sign(docs, shingle), "signed")
+    docs, floor = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), shape(percent)[2]
+    signed = materialize(sign(docs, shingle, percent), "signed")
     some = signed.filter("n_shingles > 0 and doc_id is not null")
     # one representative for each set of shingles
     classes = some.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"))
@@ -164,7 +179,7 @@ def link(docs: DataFrame, percent: int = 85, shingle: int = 5) -> DataFrame:
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
-        new = materialize(_verified(materialize(_agreeing(pairs, signs), "agreeing"), docs, percent, shingle), "links")
+        new = materialize(_verified(materialize(_agreeing(pairs, signs, floor), "agreeing"), docs, percent, shingle), "links")
         seen = pairs if seen is None else seen.unionByName(pairs)
         if edges is None or not new.isEmpty():
             edges = new if edges is None else edges.unionByName(new)

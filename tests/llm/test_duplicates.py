@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from skein.llm import common, components, decontaminate, line_templates, minhash, pq_dedup, registry
 
 
@@ -94,6 +95,31 @@ def test_minhash_finds_exactly_the_links(spark):
     assert kept.columns == ["doc_id", "text", "kept"] and kept.count() == sum(want[d] == d for d in want)
 
 
+def test_minhash_shape_follows_the_percentage(spark):
+    assert minhash.shape(85) == (32, 7, 0.73)
+    for percent in (10, 50, 60, 70, 80, 90, 95, 100):
+        bands, rows, floor = minhash.shape(percent)
+        share = min(percent, 99) / 100
+        assert (1 - share**rows) ** bands <= 5e-6 and floor < share and bands * rows <= minhash.COORDINATES
+    rng, docs = random.Random(21), []
+    for _ in range(60):
+        base = words(rng, 150)
+        docs.append(" ".join(base))
+        for edits in (2, 3, 4, 5):  # each edit takes five shingles: similarities of about 0.7 to 0.87
+            w = list(base)
+            for e in range(edits):
+                w[10 + 30 * e] = f"e{rng.randint(0, 99)}"
+            docs.append(" ".join(w))
+    sets = {i: shingles(t) for i, t in enumerate(docs)}
+    pairs = [(a, b, 100 * len(sets[a] & sets[b]) / len(sets[a] | sets[b])) for a in sets for b in range(a + 1, len(docs))]
+    assert sum(80 <= s < 85 for *_, s in pairs) > 50
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    for percent in (60, 80):
+        want = smallest([(a, b) for a, b, s in pairs if s >= percent], sets)
+        assert {r.doc_id: r.component_id for r in minhash.link(df, percent).collect()} == want
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()} == {d for d in want if want[d] == d}
+
+
 def test_minhash_edge_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert minhash.link(empty).count() == 0
