@@ -7,16 +7,15 @@ fixed depth: number of tokens, then the leading tokens. Where all lines of a lea
 least three of four equal parts of their tails, the leaf is one template whose remaining part
 is a variable field too.
 
-A template recurs if at least ``MIN_DOCS`` documents hold it and it stands between as many
-different neighbours (the templates of the lines before and after), and its neighbours
-differ in at least half of its documents. The last keeps copies of whole documents intact:
-their lines recur, but among the same neighbours; whole-document copies are another
-operator's work. All lines of recurring templates are dropped; other lines, empty ones
+A template recurs if documents of at least ``MIN_DOCS`` different texts hold it; texts are
+different if any line's template is. So copies of whole documents count once and stay
+intact; they are another operator's work. Lines that near copies of ``MIN_DOCS`` different
+texts share do recur. All lines of recurring templates are dropped; other lines, empty ones
 included, stay as they are and in order.
 
 Edge cases: a null text stays null, an empty one empty; empty lines are never dropped;
-a document is a row's id and text, so repeated rows count once; rows with null ids count by
-their texts; an empty table gives an empty result; other columns are kept by ``drop_lines``.
+repeated rows count once; rows with null ids count by their texts; an empty table gives an
+empty result; other columns are kept by ``drop_lines``.
 """
 
 from __future__ import annotations
@@ -49,14 +48,15 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _parsed(docs: DataFrame, lead: int) -> DataFrame:
-    """A row per line with a template: doc, pos (its number), key (hash of its template), near (hash
-    of the templates around it), leaf (null for short lines) and hashes of the tail's parts."""
+    """A row per line with a template: doc, copy (a hash of the document's templates), pos (its
+    number), key (hash of its template), leaf (null for short lines) and hashes of the tail's parts."""
     split = F.split("text", "\n")
     cleaned = F.transform(split, lambda x, i: F.struct(i.alias("pos"), template(x).alias("t")))
     plain = F.transform(split, lambda x, i: F.struct(i.alias("pos"), x.alias("t")))
     lines = F.filter(F.when(F.col("text").rlike(_TO_CLEAN), cleaned).otherwise(plain), lambda x: x["t"] != "")
-    around = lambda x, i: F.struct(x["pos"].alias("pos"), x["t"].alias("t"), F.xxhash64(F.get(F.col("lines"), i - 1)["t"], F.lit("<"), F.get(F.col("lines"), i + 1)["t"]).alias("near"))
-    rows = _keyed(docs).select("__doc", lines.alias("lines")).select(F.col("__doc").alias("doc"), F.explode(F.transform("lines", around)).alias("x")).select("doc", "x.*")
+    rows = _keyed(docs).select(F.col("__doc").alias("doc"), lines.alias("lines"))
+    # the hash is taken before the lines are told apart, so once a document
+    rows = rows.select("doc", F.xxhash64("lines.t").alias("copy"), "lines").select("doc", "copy", F.explode("lines").alias("x")).select("doc", "copy", "x.*")
     rows = rows.withColumn("n", F.length("t") - F.length(F.replace("t", F.lit(" "), F.lit(""))) + 1)
     # a template is more than fields: at least half of its tokens are fixed
     fields = (F.length("t") - F.length(F.replace("t", F.lit("<*>"), F.lit("")))) / 3
@@ -65,16 +65,13 @@ def _parsed(docs: DataFrame, lead: int) -> DataFrame:
     rows = rows.withColumns({f"c{j}": F.length(_head(t, lead + F.floor(tail * j / PARTS).cast("int"))) for j in range(PARTS + 1)})
     long = tail >= PARTS
     parts = [F.when(long, F.hash(F.substr(t, F.col(f"c{j}") + 1, F.col(f"c{j + 1}") - F.col(f"c{j}")))).alias(f"p{j}") for j in range(PARTS)]
-    return rows.select("doc", "pos", "near", F.xxhash64("t").alias("key"), F.when(long, F.xxhash64("n", _head(t, lead))).alias("leaf"), *parts)
+    return rows.select("doc", "copy", "pos", F.xxhash64("t").alias("key"), F.when(long, F.xxhash64("n", _head(t, lead))).alias("leaf"), *parts)
 
 
 def _recurring(held: DataFrame, by: str, min_docs: int) -> DataFrame:
-    """Values of ``by`` that recur. held: (by, doc, near), a row for each line."""
-    # once per document, with the neighbours of the line's first place in it
-    once = held.groupBy(by, "doc").agg(F.min_by("near", "pos").alias("near"))
-    among = once.groupBy(by, "near").agg(F.count("*").alias("n"))
-    found = among.groupBy(by).agg(F.sum("n").alias("docs"), F.count("*").alias("nears"))
-    return found.filter((F.col("docs") >= min_docs) & (F.col("nears") >= min_docs) & (2 * F.col("nears") >= F.col("docs"))).select(by)
+    """Values of ``by`` that recur. held: (by, copy), a row for each line."""
+    found = held.select(by, "copy").distinct().groupBy(by).agg(F.count("*").alias("copies"))
+    return found.filter(F.col("copies") >= min_docs).select(by)
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, lead: int = LEADING) -> DataFrame:
@@ -84,7 +81,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, lead: int = LEADI
     agree = sum(((F.min(f"p{j}") == F.max(f"p{j}")).cast("int") for j in range(PARTS)), F.lit(0))
     leaves = rows.filter("leaf is not null").groupBy("leaf").agg(agree.alias("agree"), F.count("*").alias("n"), (F.min("key") < F.max("key")).alias("varies"))
     leaves = leaves.filter((F.col("agree") >= AGREEING) & F.col("varies") & (F.col("n") >= min_docs)).select("leaf")
-    general = materialize(rows.select("leaf", "doc", "pos", "near").join(leaves, "leaf"), "leaves")
+    general = materialize(rows.select("leaf", "doc", "copy", "pos").join(leaves, "leaf"), "leaves")
     general = general.join(_recurring(general, "leaf", min_docs), "leaf", "left_semi").select("doc", "pos")
     found = rows.select("key", "doc", "pos").join(exact, "key", "left_semi").select("doc", "pos").unionByName(general)
     return found.groupBy("doc").agg(F.collect_set("pos").alias("places"))

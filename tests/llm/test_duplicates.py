@@ -250,6 +250,22 @@ def test_line_templates(spark):
     assert line_templates.dedup_lines(df.limit(0)).count() == 0
 
 
+def letters(rng, n):
+    return " ".join("".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n))
+
+
+def test_lines_recur_by_texts_whatever_their_neighbours(spark):
+    """Blocks of recurring lines, documents that differ in one place, and copies of documents."""
+    rng = random.Random(31)
+    block = ["Les.", letters(rng, 5), "Of the edge.", letters(rng, 60)]
+    docs = [(i, "\n".join(["home", *block, "foot", letters(rng, 8)])) for i in range(40)]
+    alone = "\n".join(["one of a kind", letters(rng, 9), "end of it 7"])
+    docs += [(100 + i, alone) for i in range(5)] + [(200 + i, alone.replace("7", str(i))) for i in range(5)]
+    got = {r.doc_id: r for r in line_templates.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(got[i].text == docs[i][1].split("\n")[-1] and got[i].n_dropped == 6 for i in range(40))
+    assert all(got[d].text == t for d, t in docs[40:])
+
+
 def test_line_templates_sql(spark):
     docs = [(d, t) for d, t in line_docs() if d is not None and t is not None]
     df = spark.createDataFrame(docs, "doc_id long, text string")
