@@ -1,17 +1,17 @@
 """Line dedup by a log-template tree, in DataFrame functions only.
 
 A line's tokens are its runs without white space. Tokens that hold a digit are variable
-fields and become ``<*>``; that makes the line's template (lines most of whose tokens are
-fields have none). Templates hang in a tree of
-fixed depth: number of tokens, then the leading tokens. Where all lines of a leaf agree in at
-least three of four equal parts of their tails, the leaf is one template whose remaining part
-is a variable field too.
-
-A template recurs if documents of at least ``MIN_DOCS`` different texts hold it; texts are
-different if any line's template is. So copies of whole documents count once and stay
-intact; they are another operator's work. Lines that near copies of ``MIN_DOCS`` different
-texts share do recur. All lines of recurring templates are dropped; other lines, empty ones
-included, stay as they are and in order.
+fields and become ``<*>``; that makes the line's template. Lines most of whose tokens are
+fields have no template but themselves: only equal lines recur. Templates hang in a tree of
+fixed depth: number of tokens, then the leading tokens. Lines of a leaf that agree in three
+of four equal parts of their tails form a group, whose remaining part is a variable field
+too; a line is in four groups, one for each part.
+
+A template or a group recurs if documents of at least ``MIN_DOCS`` different texts hold it;
+texts are different if any line's template is. So copies of whole documents count once and
+stay intact; they are another operator's work. Lines that near copies of ``MIN_DOCS``
+different texts share do recur. All lines of recurring templates and groups are dropped;
+other lines, empty ones included, stay as they are and in order.
 
 Edge cases: a null text stays null, an empty one empty; empty lines are never dropped;
 repeated rows count once; rows with null ids count by their texts; an empty table gives an
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import materialize
 
-MIN_DOCS, LEADING, PARTS, AGREEING = 3, 3, 4, 3
+MIN_DOCS, LEADING, PARTS = 3, 3, 4
 
 
 #: Texts without any of this are their own templates line by line.
@@ -48,11 +48,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _parsed(docs: DataFrame, lead: int) -> DataFrame:
-    """A row per line with a template: doc, copy (a hash of the document's templates), pos (its
-    number), key (hash of its template), leaf (null for short lines) and hashes of the tail's parts."""
+    """A row per line that isn't empty: doc, copy (a hash of the document's templates), pos (the
+    line's number) and keys (hashes of its template and, for long lines, of its groups)."""
     split = F.split("text", "\n")
-    cleaned = F.transform(split, lambda x, i: F.struct(i.alias("pos"), template(x).alias("t")))
-    plain = F.transform(split, lambda x, i: F.struct(i.alias("pos"), x.alias("t")))
+    cleaned = F.transform(split, lambda x, i: F.struct(i.alias("pos"), template(x).alias("t"), x.alias("raw")))
+    plain = F.transform(split, lambda x, i: F.struct(i.alias("pos"), x.alias("t"), F.lit(None).cast("string").alias("raw")))
     lines = F.filter(F.when(F.col("text").rlike(_TO_CLEAN), cleaned).otherwise(plain), lambda x: x["t"] != "")
     rows = _keyed(docs).select(F.col("__doc").alias("doc"), lines.alias("lines"))
     # the hash is taken before the lines are told apart, so once a document
@@ -60,30 +60,25 @@ def _parsed(docs: DataFrame, lead: int) -> DataFrame:
     rows = rows.withColumn("n", F.length("t") - F.length(F.replace("t", F.lit(" "), F.lit(""))) + 1)
     # a template is more than fields: at least half of its tokens are fixed
     fields = (F.length("t") - F.length(F.replace("t", F.lit("<*>"), F.lit("")))) / 3
-    rows = rows.filter(2 * fields <= F.col("n"))
+    rows = rows.withColumn("own", 2 * fields > F.col("n"))
     tail, t = F.col("n") - lead, F.col("t")
-    rows = rows.withColumns({f"c{j}": F.length(_head(t, lead + F.floor(tail * j / PARTS).cast("int"))) for j in range(PARTS + 1)})
-    long = tail >= PARTS
-    parts = [F.when(long, F.hash(F.substr(t, F.col(f"c{j}") + 1, F.col(f"c{j + 1}") - F.col(f"c{j}")))).alias(f"p{j}") for j in range(PARTS)]
-    return rows.select("doc", "copy", "pos", F.xxhash64("t").alias("key"), F.when(long, F.xxhash64("n", _head(t, lead))).alias("leaf"), *parts)
-
-
-def _recurring(held: DataFrame, by: str, min_docs: int) -> DataFrame:
-    """Values of ``by`` that recur. held: (by, copy), a row for each line."""
-    found = held.select(by, "copy").distinct().groupBy(by).agg(F.count("*").alias("copies"))
-    return found.filter(F.col("copies") >= min_docs).select(by)
+    long = ~F.col("own") & (tail >= PARTS)
+    rows = rows.withColumns({f"c{j}": F.when(long, F.length(_head(t, lead + F.floor(tail * j / PARTS).cast("int")))) for j in range(PARTS + 1)})
+    rows = rows.withColumns({f"p{j}": F.xxhash64(F.substr(t, F.col(f"c{j}") + 1, F.col(f"c{j + 1}") - F.col(f"c{j}"))) for j in range(PARTS)})
+    rows = rows.withColumn("leaf", F.xxhash64("n", _head(t, lead)))
+    groups = [F.xxhash64("leaf", F.lit(j), *[F.col(f"p{i}") for i in range(PARTS) if i != j]) for j in range(PARTS)]
+    exact = F.when(F.col("own"), F.xxhash64(F.lit("="), F.trim(F.regexp_replace(F.coalesce("raw", "t"), r"\s+", " ")))).otherwise(F.xxhash64("t"))
+    return rows.select("doc", "copy", "pos", F.when(long, F.array(exact, *groups)).otherwise(F.array(exact)).alias("keys"))
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, lead: int = LEADING) -> DataFrame:
     """(doc, places): for each document that has any, the numbers of the lines to drop."""
     rows = materialize(_parsed(docs.select("doc_id", "text"), lead), "lines")
-    exact = _recurring(rows, "key", min_docs)
-    agree = sum(((F.min(f"p{j}") == F.max(f"p{j}")).cast("int") for j in range(PARTS)), F.lit(0))
-    leaves = rows.filter("leaf is not null").groupBy("leaf").agg(agree.alias("agree"), F.count("*").alias("n"), (F.min("key") < F.max("key")).alias("varies"))
-    leaves = leaves.filter((F.col("agree") >= AGREEING) & F.col("varies") & (F.col("n") >= min_docs)).select("leaf")
-    general = materialize(rows.select("leaf", "doc", "copy", "pos").join(leaves, "leaf"), "leaves")
-    general = general.join(_recurring(general, "leaf", min_docs), "leaf", "left_semi").select("doc", "pos")
-    found = rows.select("key", "doc", "pos").join(exact, "key", "left_semi").select("doc", "pos").unionByName(general)
+    held = rows.select(F.explode("keys").alias("key"), "copy").distinct()
+    recurring = held.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("key")
+    recurring = materialize(recurring, "recurring")
+    # never broadcast: the keys grow with the documents
+    found = rows.select(F.explode("keys").alias("key"), "doc", "pos").join(recurring.hint("merge"), "key", "left_semi")
     return found.groupBy("doc").agg(F.collect_set("pos").alias("places"))
 
 

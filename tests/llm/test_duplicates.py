@@ -266,6 +266,20 @@ def test_lines_recur_by_texts_whatever_their_neighbours(spark):
     assert all(got[d].text == t for d, t in docs[40:])
 
 
+def test_stray_lines_of_a_leaf_do_not_hide_its_groups(spark):
+    rng = random.Random(32)
+    own = lambda: letters(rng, 8)
+    posted = "posted by the user {} in the forum of this very site today"
+    stray = "posted by the " + letters(rng, 10)
+    assert len(stray.split()) == len(posted.format("x").split())
+    docs = [(i, "\n".join([own(), posted.format(letters(rng, 1)), own()])) for i in range(30)]
+    docs += [(50, f"{own()}\n{stray}")]
+    docs += [(60 + i, f"{own()}\n+1 555 0100 {i % 2}") for i in range(5)]  # equal lines of fields: 3 and 2 texts
+    got = {r.doc_id: r for r in line_templates.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(got[i].n_dropped == 1 and "posted" not in got[i].text for i in range(30)) and got[50].text == docs[30][1]
+    assert [got[60 + i].n_dropped for i in range(5)] == [1, 0, 1, 0, 1]
+
+
 def test_line_templates_sql(spark):
     docs = [(d, t) for d, t in line_docs() if d is not None and t is not None]
     df = spark.createDataFrame(docs, "doc_id long, text string")
