@@ -136,7 +136,7 @@ _STOP = "(length(t) - length(regexp_extract(t, '(?s)^.*[.!?](.*)$', 1)))"
 @query(f"""select doc_id, t <> '' and not regexp_matches(t, '[.!?]$') changed, case when t = '' or regexp_matches(t, '[.!?]$') then t when regexp_matches(t, '[.!?]') and {_STOP} - 1 >= floor(length(t) * 0.55::double) then trim(substr(t, 1, {_STOP}))
  when len(w) > 1 and b <> '' then b || '.' else t || '.' end out from (select *, regexp_replace(array_to_string(w[1:len(w) - 1], ' '), '[,;:-]+$', '') b from (select doc_id, {_HEAD} t, list_filter(regexp_split_to_array({_HEAD}, '\\s+'), lambda x: x <> '') w from documents))""")
 def finalize_tail(spark, d):
-    text, changed = A.finish(F.substring("text", 1, 100))
+    text, changed = A.finish("text")
     return table(spark, d, "documents").select("doc_id", changed.alias("changed"), text.alias("out"))
 
 
@@ -269,8 +269,7 @@ def _stop_sql() -> str:
 
 @query(_stop_sql())
 def stop_phrase_filter(spark, d):
-    t = _turns(spark, d).withColumn("u", F.array_join(F.slice(F.split(F.trim("text"), r"\s+"), 1, 3), " "))
-    return t.select("conv_id", "turn", V.stop_phrase("u", P.stop_phrases).alias("phrase"))
+    return _turns(spark, d).select("conv_id", "turn", V.stop_phrase("text", P.stop_phrases).alias("phrase"))
 
 
 @query("""select conv_id, turn, case when length(regexp_replace(u, '[^\\p{L}\\p{N}]', '', 'g')) < 2 then 'short' when regexp_matches(lower(u), '^[\\W_]+$') or (length(u) >= 4 and replace(lower(u), substr(lower(u), 1, 1), '') = '') then 'noise' when len(w) >= 3 and 1 - len(list_distinct(w))::double / len(w) > 0.6::double then 'repeats' end reason
