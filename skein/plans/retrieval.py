@@ -36,8 +36,8 @@ def _one(spark) -> DataFrame:
 
 
 def _items(spark, d) -> DataFrame:
-    """Benchmark items as queries of their first eight tokens."""
-    t = F.slice(T.tokenize("text", P.stopwords), 1, 8)
+    """Benchmark items as queries of all their tokens."""
+    t = T.tokenize("text", P.stopwords)
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text", t.alias("tokens"), F.array_join(t, " ").alias("query"))
 
 
@@ -257,17 +257,21 @@ def retrieval_eval(spark, d):
 
 
 def gold(spark, d) -> DataFrame:
-    """(query_id, doc_id) of documents that hold a query's first 60 characters; a null doc_id
-    for each query. Pairs of words find the candidates, so it is an equi join."""
+    """(query_id, doc_id) of documents that hold a query's whole text; a null doc_id for each
+    query. Pairs of words find the candidates, so it is an equi join but for items of fewer
+    than four words."""
     words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
     shifted = lambda t: F.slice(t, F.lit(2), F.greatest(F.lit(0), F.size(t) - 1))
     pairs = lambda c: T.let(words(c), lambda t: F.array_distinct(F.zip_with(t, shifted(t), lambda x, y: F.xxhash64(x, F.lit(" "), y))))
-    b = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("head"))
-    # the second and third word are whole in any document that holds the head
-    probe = b.withColumn("s", F.xxhash64(F.get(words(F.col("head")), F.lit(1)), F.lit(" "), F.get(words(F.col("head")), F.lit(2))))
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
+    n = F.size(words(F.col("item")))
+    # the second and third of four words are whole in any document that holds the item
+    probe = b.filter(n >= 4).withColumn("s", F.xxhash64(F.get(words(F.col("item")), F.lit(1)), F.lit(" "), F.get(words(F.col("item")), F.lit(2))))
     docs = _docs(spark, d).select("doc_id", "text")
-    found = docs.select("doc_id", F.explode(pairs(F.col("text"))).alias("s")).join(probe, "s").select("query_id", "doc_id", "head")
-    hits = found.join(docs, "doc_id").filter(F.contains("text", "head")).select("query_id", "doc_id").distinct()
+    found = docs.select("doc_id", F.explode(pairs(F.col("text"))).alias("s")).join(probe, "s").select("query_id", "doc_id", "item")
+    hits = found.join(docs, "doc_id").filter(F.contains("text", "item")).select("query_id", "doc_id")
+    short = docs.join(b.filter((n > 0) & (n < 4)), F.contains("text", "item")).select("query_id", "doc_id")
+    hits = hits.unionByName(short).distinct()
     return hits.unionByName(b.select("query_id", F.lit(None).cast(LONG).alias("doc_id")))
 
 

@@ -1,9 +1,5 @@
 """Catalogue queries take whole texts: no prefix of a text, a turn or a query."""
 
-import pytest
-from pyspark.sql import functions as F
-
-from skein.functions import text as T
 from skein.plans import answers, retrieval
 from skein.rules import SYNTHETIC as P
 
@@ -26,3 +22,16 @@ def test_stop_phrases_take_whole_turns(spark, tmp_path):
     put(spark, tmp_path, "conversations", [(1, i, "user", t) for i, t in enumerate(turns)], "conv_id long, turn int, role string, text string")
     got = {r.turn: r.phrase for r in answers.stop_phrase_filter(spark, str(tmp_path)).collect()}
     assert got == {0: phrase, 1: None}
+
+
+def test_searches_use_every_token_of_an_item(spark, tmp_path):
+    head = " ".join(f"common{'abcdefgh'[i]}" for i in range(8))
+    docs = [(1, f"{head} {head} other matter"), (2, f"{head} zebra quartz lantern"), (3, "unrelated words only here"), (4, "a tiny needle")]
+    put(spark, tmp_path, "documents", docs, "doc_id long, text string")
+    put(spark, tmp_path, "benchmark", [(7, f"{head} zebra quartz lantern"), (8, "tiny needle")], "item_id long, text string")
+    items = {r.query_id: r.tokens for r in retrieval._items(spark, str(tmp_path)).collect()}
+    assert items[7][-3:] == ["zebra", "quartz", "lantern"] and len(items[7]) == 11
+    best = {r.query_id: r.doc_id for r in retrieval.bm25_batch_topk(spark, str(tmp_path)).filter("rank = 1").collect()}
+    assert best == {7: 2, 8: 4}
+    gold = {(r.query_id, r.doc_id) for r in retrieval.gold(spark, str(tmp_path)).filter("doc_id is not null").collect()}
+    assert gold == {(7, 2), (8, 4)}  # document 1 has the item's first 60 characters only
