@@ -165,14 +165,35 @@ def facets(text: Column, profile: Profile) -> Column:
 # --- scoring of hits ------------------------------------------------------------------------------
 
 
+def structural_tokens(source: Column, title: Column, section: Column, profile: Profile) -> Column:
+    """Tokens of address, title and section, with their aliases."""
+    own = T.tokenize(F.concat_ws(" ", F.replace(U.path(source), F.lit("/"), F.lit(" ")), title, section), profile.stopwords)
+    more = F.flatten(F.transform(own, lambda t: F.flatten(F.array(T.words_in(()), *[F.when(t == k, T.words_in(v)).otherwise(T.words_in(())) for k, v in profile.path_aliases.items()]))))
+    return F.concat(own, more)
+
+
+def query_numbers(query: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(query, F.lit(r"(?<![\w])(\d+)(?![\w])"), 1))
+
+
+def structural_candidates(items: DataFrame, pages: DataFrame, item: str, page: str, profile: Profile) -> DataFrame:
+    """The pairs (item, page) whose structural bonus isn't 0, by an equi join on tokens and on
+    the starts of the numbers in address and title. items: q, t; pages: url, title, section."""
+    named = lambda kind, c: F.transform(c, lambda x: F.concat(F.lit(kind), x))
+    starts = lambda c, after: F.flatten(F.transform(F.regexp_extract_all(c, F.lit(after + r"(\d+)"), 1), lambda r: F.transform(F.sequence(F.lit(1), F.length(r)), lambda i: F.substr(r, F.lit(1), i))))
+    url, title = F.col("url"), F.col("title")
+    held = [named("t", structural_tokens(url, title, F.col("section"), profile)), named("n", starts(url, "/")), named("n", starts(title, "[№ ]"))]
+    wanted = [named("t", F.col("t")), named("n", query_numbers(F.col("q")))]
+    keys = lambda parts: F.explode(F.array_distinct(F.concat(*[F.coalesce(p, F.array().cast("array<string>")) for p in parts]))).alias("key")
+    return items.select(item, keys(wanted)).join(pages.select(page, keys(held)), "key").select(item, page).distinct()
+
+
 def structural_bonus(tokens: Column, query: Column, source: Column, title: Column, section: Column, profile: Profile) -> Column:
     """0.45 times the share of query tokens in address, title and section (with aliases), and
     0.28 and 0.18 for each of the query's numbers in address and title."""
-    own = T.tokenize(F.concat_ws(" ", F.replace(U.path(source), F.lit("/"), F.lit(" ")), title, section), profile.stopwords)
-    more = F.flatten(F.transform(own, lambda t: F.flatten(F.array(T.words_in(()), *[F.when(t == k, T.words_in(v)).otherwise(T.words_in(())) for k, v in profile.path_aliases.items()]))))
     wanted = F.array_distinct(tokens)
-    overlap = F.when(F.size(wanted) > 0, F.size(F.array_intersect(wanted, F.concat(own, more))) / F.size(wanted)).otherwise(0.0)
-    numbers = F.array_distinct(F.regexp_extract_all(query, F.lit(r"(?<![\w])(\d+)(?![\w])"), 1))
+    overlap = F.when(F.size(wanted) > 0, F.size(F.array_intersect(wanted, structural_tokens(source, title, section, profile))) / F.size(wanted)).otherwise(0.0)
+    numbers = query_numbers(query)
     low, head = F.lower(source), F.lower(title)
     by_number = F.aggregate(numbers, F.lit(0.0), lambda a, n: a + F.when(F.contains(low, F.concat(F.lit("/"), n)), 0.28).otherwise(0.0) + F.when(F.contains(head, F.concat(F.lit("№"), n)) | F.contains(head, F.concat(F.lit(" "), n)), 0.18).otherwise(0.0))
     return F.coalesce(0.45 * overlap, F.lit(0.0)) + by_number

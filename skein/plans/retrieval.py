@@ -121,10 +121,13 @@ def _structural_sql(tokens: str, q: str) -> str:
 
 @query(f"select item_id, page_id, round({_structural_sql('t', 'q')}, 6) bonus from {_PAGE_Q}, {C.PAGES_SQL}")
 def structural_bonus(spark, d):
-    b = table(spark, d, "benchmark").orderBy("item_id").limit(5)  # five stated questions
-    b = F.broadcast(b.select("item_id", F.col("text").alias("q"), T.expand(T.tokenize("text", P.stopwords), P.expansions).alias("t")))
-    r = C.page_records(spark, d).withColumn("section", U.section("url")).crossJoin(b)
-    return r.select("item_id", "page_id", F.round(R.structural_bonus(F.col("t"), F.col("q"), F.col("url"), F.col("title"), F.col("section"), P), 6).alias("bonus"))
+    """The bonuses other than 0 of every item and page."""
+    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("q"), T.expand(T.tokenize("text", P.stopwords), P.expansions).alias("t"))
+    r = C.page_records(spark, d).select("page_id", "url", "title", U.section("url").alias("section"))
+    # pages join before the wider items, so that pairs are shuffled as ids
+    r = R.structural_candidates(b, r, "item_id", "page_id", P).join(r, "page_id").join(b, "item_id")
+    bonus = R.structural_bonus(F.col("t"), F.col("q"), F.col("url"), F.col("title"), F.col("section"), P)
+    return r.select("item_id", "page_id", F.round(bonus, 6).alias("bonus")).filter("bonus <> 0")
 
 
 def _facet_sql() -> str:

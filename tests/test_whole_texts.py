@@ -1,6 +1,11 @@
-"""Catalogue queries take whole texts: no prefix of a text, a turn or a query."""
+"""Catalogue queries take whole texts and tables: no prefix of a text, a turn or a query."""
 
-from skein.plans import answers, retrieval
+from pyspark.sql import functions as F
+
+from skein.functions import text as T
+from skein.functions import urls as U
+from skein.operators import retrieval as R
+from skein.plans import answers, ingest, retrieval
 from skein.rules import SYNTHETIC as P
 
 
@@ -35,3 +40,18 @@ def test_searches_use_every_token_of_an_item(spark, tmp_path):
     assert best == {7: 2, 8: 4}
     gold = {(r.query_id, r.doc_id) for r in retrieval.gold(spark, str(tmp_path)).filter("doc_id is not null").collect()}
     assert gold == {(7, 2), (8, 4)}  # document 1 has the item's first 60 characters only
+
+
+def test_structural_bonus_scores_all_items(spark, tmp_path):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").limit(60)
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    urls = [r.url for r in pages.select("url").collect()]
+    digits = [c for u in urls for c in u if c.isdigit()][:3] or ["1"]
+    texts = [*(u.replace("/", " ").replace("-", " ") for u in urls[:8]), *(f"see number {n} of it" for n in digits), "qqqq zzzz", None]
+    put(spark, tmp_path, "benchmark", list(enumerate(texts)), "item_id long, text string")
+    got = {(r.item_id, r.page_id): r.bonus for r in retrieval.structural_bonus(spark, str(tmp_path)).collect()}
+    b = spark.read.parquet(f"{tmp_path}/benchmark.parquet").select("item_id", F.col("text").alias("q"), T.expand(T.tokenize("text", P.stopwords), P.expansions).alias("t"))
+    every = ingest.page_records(spark, str(tmp_path)).withColumn("section", U.section("url")).crossJoin(b)
+    bonus = F.round(R.structural_bonus(F.col("t"), F.col("q"), F.col("url"), F.col("title"), F.col("section"), P), 6)
+    want = {(r.item_id, r.page_id): r.bonus for r in every.select("item_id", "page_id", bonus.alias("bonus")).collect() if r.bonus}
+    assert got == want and len({i for i, _ in want}) > 5
