@@ -3,12 +3,29 @@ alternating large-star and small-star steps, each a grouping by the smallest nei
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import materialize
 
 
+def forest(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node that its links lead to) for the nodes of some links in memory."""
+    nodes, place = np.unique(np.concatenate([left, right]), return_inverse=True)
+    a, b = place[: len(left)], place[len(left) :]
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, b, least)
+        new = new[new]
+        if (new == label).all():
+            return nodes, nodes[label]
+        label = new
+
+
 def _spread(edges: DataFrame, larger: bool) -> DataFrame:
     """Ties neighbours of every node to the smallest of them (itself included): its larger
     neighbours, or its smaller ones and itself. ``edges`` holds (u, v) with u > v."""
