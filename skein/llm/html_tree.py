@@ -12,8 +12,11 @@ Inside a block white space, line breaks and inline elements' borders become one
 blocks are trimmed and joined by one line feed, in page order. Nothing is cut off.
 
 Edge cases: null or empty html gives the empty text; text without any element is main text;
-unclosed, stray and wrongly nested tags follow the usual implied ends; an unclosed comment
-or script runs to the end of the page; repeated rows are extracted each; null ids and urls
+unclosed, stray and wrongly nested tags follow the usual implied ends; an unclosed comment,
+script or tag (no ``>`` any more) runs to the end of the page, while an unclosed ``select``,
+``video`` or other embedded element hides nothing but itself; pages of any length and depth
+take time in proportion to their length; an element whose marginal is exactly one half (a
+tie) is main text; repeated rows are extracted each; null ids and urls
 stay null; an empty table gives an empty result.
 """
 
@@ -35,7 +38,10 @@ from skein.llm.common import bounded_batches, slices
 RESULT = "page_id long, url string, text string, n_chars long"
 
 # fixed values: HTML's element kinds
-RAW = frozenset("script style template textarea title iframe noscript noembed noframes svg math select object audio video canvas".split())
+#: Elements whose content isn't markup: it ends at the first end tag of their name.
+RAW = frozenset("script style textarea title iframe noscript noembed noframes xmp".split())
+#: Elements whose content isn't text of the page; they nest, and hide nothing if unclosed.
+EMBEDDED = frozenset("template svg math select object audio video canvas".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -45,7 +51,9 @@ BLOCK = frozenset(
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tbody"), "tfoot": ("tbody",)}
 HOLDS = frozenset("ul ol menu dl table select article section div body".split())
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+# no part of these is tried twice at a place, so a page takes time in proportion to its length
+_TAG = re.compile(r"""<(/?+)([a-zA-Z][^\s/>]*+)((?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+)(>?+)""")
+_COMMENT = re.compile(r"<!--(?:-?+>|.*?(?:--!?>|\Z))", re.S)
 _NAMED = re.compile(r"""\b(class|id|role|hidden|data-main)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""", re.I)
 _WORD = re.compile(r"[a-z]+")
 _CLOSE = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
@@ -84,68 +92,128 @@ class Node:
         self.tied: tuple[int, ...] = ()
 
 
+def tokens(page: str) -> list[tuple[str, str | None, bool, str]]:
+    """(text, None, ...) and (text before it, tag, whether it ends, attributes), in page order.
+    Comments, declarations and raw elements' content are left out."""
+    out, at, run, size = [], 0, 0, len(page)
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            stop, tag = _COMMENT.match(page, at).end(), None
+        elif page.startswith(("<!", "<?"), at) or (page.startswith("</", at) and not page[at + 2 : at + 3].isalpha()):
+            stop, tag = page.find(">", at) + 1 or size, None
+        elif not (found := _TAG.match(page, at)):
+            at += 1  # a plain character
+            continue
+        else:
+            stop, tag = found.end(), found[2].lower()
+        out.append((page[run:at], None, False, ""))
+        if tag and found[4]:
+            closed = found[3].endswith("/")
+            if tag in RAW and not found[1]:
+                end = None if closed else _CLOSE[tag].search(page, stop)
+                stop = end.end() if end else stop if closed else size
+                out.append((" ", None, False, ""))
+            elif tag in RAW or (tag in EMBEDDED and closed and not found[1]):
+                out.append((" ", None, False, ""))
+            else:
+                out.append(("", tag, bool(found[1]), found[3]))
+        at = run = stop
+    out.append((page[run:], None, False, ""))
+    return out
+
+
+def _hidden(found: list[tuple[str, str | None, bool, str]]) -> list[tuple[int, int]]:
+    """The outermost runs of tokens from an embedded element's tag to its end tag. Unclosed
+    ones make no run, nor do stray end tags."""
+    open_: dict[str, list[int]] = {}
+    runs = []
+    for i, (_, tag, ending, _) in enumerate(found):
+        if tag in EMBEDDED:
+            if not ending:
+                open_.setdefault(tag, []).append(i)
+            elif open_.get(tag):
+                runs.append((open_[tag].pop(), i))
+    out, reach = [], -1
+    for a, b in sorted(runs):
+        if b > reach:
+            out.append((max(a, reach + 1), b))
+            reach = b
+    return out
+
+
+class _Open:
+    """The open elements, and the depths of each kind of tag."""
+
+    def __init__(self, nodes: list[Node]) -> None:
+        self.nodes, self.held, self.depths = nodes, [0], {}
+
+    def push(self, node: int) -> None:
+        self.depths.setdefault(self.nodes[node].tag, []).append(len(self.held))
+        self.held.append(node)
+
+    def depth(self, tags) -> int:
+        """Of the innermost element of these tags; 0 if there is none."""
+        return max((d[-1] for t in tags if (d := self.depths.get(t))), default=0)
+
+    def close(self, depth: int) -> None:
+        """Ends all elements from this depth on."""
+        while len(self.held) > depth:
+            self.depths[self.nodes[self.held.pop()].tag].pop()
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Block elements (parents before children; 0 is the root) and (element, text) blocks."""
-    nodes, open_ = [Node("html", -1)], [0]
+    nodes = [Node("html", -1)]
+    open_ = _Open(nodes)
     blocks: list[tuple[int, str]] = []
     run: list[str] = []
-    linked = False
+    linked = choice = False
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(run)).split())
         run.clear()
         if text:
-            blocks.append((open_[-1], text))
-            nodes[open_[-1]].chars += len(text)
-
-    def put(text: str) -> None:
-        run.append(text)
-        if linked:
-            nodes[open_[-1]].links += len(text.strip())
-
-    at, size = 0, len(page)
-    while at < size:
-        found = _TOKEN.search(page, at)
-        if not found:
-            put(page[at:])
-            break
-        if found.start() > at:
-            put(page[at : found.start()])
-        at = found.end()
-        tag = found[2] or found[5]
-        if not tag:
-            continue  # a comment or declaration
-        tag, ending, rest = tag.lower(), found[1] or found[4], found[3] or found[6] or ""
-        if not ending and tag in RAW:
-            end = _CLOSE[tag].search(page, at) if not rest.endswith("/") or tag not in ("svg", "math") else None
-            at = end.end() if end else (at if rest.endswith("/") else size)
-            run.append(" ")
-        elif tag == "a":
+            blocks.append((open_.held[-1], text))
+            nodes[open_.held[-1]].chars += len(text)
+
+    found = tokens(page)
+    hidden = iter([*_hidden(found), (len(found), len(found))])
+    first, last = next(hidden)
+    for n, (text, tag, ending, rest) in enumerate(found):
+        if n > last:
+            first, last = next(hidden)
+        if n >= first:
+            if n == first:
+                run.append(" ")
+            continue
+        if tag is None:
+            if text and not choice:
+                run.append(text)
+                if linked:
+                    nodes[open_.held[-1]].links += len(text.strip())
+            continue
+        choice = tag in ("option", "optgroup") and not ending  # what an unclosed select offers
+        if tag == "a":
             linked = not ending
         elif tag not in BLOCK:
-            if tag in VOID:
+            if tag in VOID or tag in EMBEDDED:
                 run.append(" ")
         elif ending:
-            if tag in (held := [nodes[i].tag for i in open_[1:]]):
+            if depth := open_.depth((tag,)):
                 flush()
-                del open_[len(held) - held[::-1].index(tag) :]
+                open_.close(depth)
                 linked = False
         else:
             flush()
             if tag == "html":
                 continue
-            if nodes[open_[-1]].tag in ("p", *(("h1", "h2", "h3", "h4", "h5", "h6") if tag[0] == "h" and tag[1:].isdigit() else ())):
-                open_.pop()
-            if tag in ENDS:
-                for k in range(len(open_) - 1, 0, -1):
-                    if (name := nodes[open_[k]].tag) in ENDS[tag]:
-                        del open_[k:]
-                        break
-                    if name in HOLDS:
-                        break
+            if nodes[open_.held[-1]].tag in ("p", *(("h1", "h2", "h3", "h4", "h5", "h6") if tag[0] == "h" and tag[1:].isdigit() else ())):
+                open_.close(len(open_.held) - 1)
+            if tag in ENDS and (depth := open_.depth(ENDS[tag])) > open_.depth(HOLDS):
+                open_.close(depth)
             if tag == "hr":
                 continue
-            words, mark = [], nodes[open_[-1]].mark
+            words, mark = [], nodes[open_.held[-1]].mark
             for name, value in _NAMED.findall(rest):
                 if name.lower() == "data-main":
                     mark = value.strip("\"'")
@@ -153,8 +221,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                     words.append("hidden")
                 else:
                     words += _WORD.findall(value.lower())
-            nodes.append(Node(tag, open_[-1], tuple(words), mark))
-            open_.append(len(nodes) - 1)
+            nodes.append(Node(tag, open_.held[-1], tuple(words), mark))
+            open_.push(len(nodes) - 1)
             if linked and tag not in ("p", "div"):
                 linked = False
     flush()
