@@ -6,16 +6,22 @@ by expectation-maximisation on deleted counts: every training token is predicted
 counts of all the others, so the whole training corpus serves as held-out data.
 
 How it runs. Documents are packed into blocks of a few MB and written once. Each block
-sends its distinct n-grams (hashes, with its training counts) to the n-grams' partitions,
-dealt by hash, where counts are added up and sent back in the same order; a block rebuilds
-the order from its texts. Frequent n-grams cost one entry per block, so they make no hot
-key, and nothing but the weights and a histogram of fixed resolution reaches the driver.
+sends its distinct n-grams (hashes, with its training counts) to n-gram parts, dealt by the
+hashes' leading bits, where counts are added up and sent back in the same order; a block
+rebuilds the order from its texts. A block sends to ``FAN`` parts an order at most, and a
+part hears ``FAN`` senders at most: with more blocks than that, parts add up what a group of
+blocks sends and pass it on to parts of the next level, by the next bits. So messages follow
+the number of blocks (times the levels, which grow as its logarithm), and what a task holds
+is about a block's n-grams at any size. Frequent n-grams cost one entry per sender, so they
+make no hot key, and nothing but the weights, two totals and a histogram of fixed
+resolution reaches the driver.
 
 Tokens are words (runs without ``\\x20``, ``\\x09-\\x0D``; A-Z lower-cased) and one end;
 n-grams of an order are told apart by 56-bit hashes.
 
 Edge cases: a null or empty text is the end alone; null ids count as the empty id text;
-repeated rows count each; without training rows N = V = 0 and every score is 0; other
+repeated rows count each; a very long text is hashed in its block, alone if it fills one;
+equal frequencies (ties) fall into one bucket; without training rows N = V = 0 and every score is 0; other
 columns are ignored.
 """
 
@@ -23,6 +29,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +37,8 @@ from pyspark.sql import functions as F
 from skein.llm.common import SLICE_BYTES, bounded_batches, fold, materialize, mix64, slices, word_hashes
 
 ORDER = 3
-#: Text bytes in a block, and text bytes per partition of n-grams.
-BLOCK_BYTES, PART_BYTES = 4 << 20, 4 << 20
+#: Text bytes in a block, and leading bits that deal its n-grams out: 128 parts an order.
+BLOCK_BYTES, FAN_BITS = 8 << 20, 7
 END, BEGIN = np.uint64(0x0E2D), np.uint64(0xBE61)
 #: Frequency buckets per order; log2 steps of the histogram that the weights are fitted on.
 BUCKETS, STEP = 12, 2.0
@@ -122,35 +129,91 @@ def _whole(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(width, -1).T).view(kind).reshape(-1)
 
 
-def _requests(block: int, payload: bytes, order: int, bits: int):
-    """(part, block, keys, counts) for the parts that the block has n-grams in. A part is an
-    order and the top bits of its n-grams' hashes, so parts in order are n-grams in order."""
+_MESSAGE = "part long, team long, sender long, keys binary, counts binary"
+_ANSWER = "receiver long, part long, data binary, words long, total long"
+
+
+def _dealt(n: int, keys: np.ndarray, counts: np.ndarray, shift: int, team: int, sender: int):
+    """Messages to the parts that the keys belong to. A part is an order and the top bits of its
+    n-grams' hashes, so parts in order are n-grams in order."""
+    part = (keys >> np.uint64(shift)).astype(np.int64)
+    cuts = np.flatnonzero(np.diff(part)) + 1
+    ends = list(zip([0, *cuts], [*cuts, len(keys)])) if len(keys) else []
+    yield pa.record_batch(
+        [
+            pa.array([n << (64 - shift) | int(part[a]) for a, _ in ends], pa.int64()),
+            pa.array([team] * len(ends), pa.int64()),
+            pa.array([sender] * len(ends), pa.int64()),
+            pa.array([_planes(np.diff(keys[a:b], prepend=np.uint64(0))) for a, b in ends], pa.binary()),
+            pa.array([_planes(counts[a:b]) for a, b in ends], pa.binary()),
+        ],
+        names=["part", "team", "sender", "keys", "counts"],
+    )
+
+
+def _requests(block: int, payload: bytes, order: int, bits: int, teams: int):
+    """The messages of a block, which belongs to a team by a hash of its number."""
     _, held, texts = _unpacked(payload)
     tokens, edges = _tokens(texts)
     training = np.repeat(~held, np.diff(edges))
     for n, g in enumerate(_grams(tokens, edges, order), 1):
         keys, place = np.unique(g, return_inverse=True)
-        counts = np.bincount(place, weights=training, minlength=len(keys)).astype("<u4")
-        part = (keys >> np.uint64(64 - bits)).astype(np.int64)
-        cuts = np.flatnonzero(np.diff(part)) + 1
-        for a, b in zip([0, *cuts], [*cuts, len(keys)]):
-            yield n << bits | int(part[a]), block, _planes(np.diff(keys[a:b], prepend=np.uint64(0))), _planes(counts[a:b])
+        counts = np.bincount(place, weights=training, minlength=len(keys)).astype("<u8")
+        yield from _dealt(n, keys, counts, 64 - bits, int(mix64(np.array([block], np.uint64))[0] % np.uint64(teams)), block)
 
 
-def _answers(table: pa.Table, bits: int) -> pa.Table:
-    """Total counts of a part's n-grams, sent back in each block's order; one more row
-    (block -1) has the part's distinct and total training tokens."""
+def _added(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-grams of a part's messages, their sums, the place of each message's n-grams
+    among them, and where each message ends."""
     keys = [np.cumsum(_whole(k, "<u8"), dtype=np.uint64) for k in table.column("keys").to_pylist()]
     every, place = np.unique(np.concatenate(keys), return_inverse=True)
-    counts = np.concatenate([_whole(c, "<u4") for c in table.column("counts").to_pylist()])
-    total = np.bincount(place, weights=counts, minlength=len(every)).astype("<u8")
-    words = (total > 0) & (table.column("part")[0].as_py() >> bits == 1)
-    edges = np.cumsum([0, *map(len, keys)])
-    out = [_planes(total[place[a:b]]) for a, b in zip(edges, edges[1:])]
-    ids = table.column("block").to_pylist()
-    part = table.column("part")[0].as_py()
-    stats = np.array([words.sum(), total[words].sum()], "<u8").tobytes()
-    return pa.table({"block": pa.array([*ids, -1], pa.int64()), "part": pa.array([part] * (len(ids) + 1), pa.int32()), "data": pa.array([*out, stats], pa.binary())})
+    counts = np.concatenate([_whole(c, "<u8") for c in table.column("counts").to_pylist()])
+    return every, np.bincount(place, weights=counts, minlength=len(every)).astype("<u8"), place, np.cumsum([0, *map(len, keys)])
+
+
+def _answers(table: pa.Table, total: np.ndarray, place: np.ndarray, edges: np.ndarray, words: int, tokens: int) -> pa.Table:
+    """Total counts in each sender's order. One more row, to no receiver, has the distinct and
+    all training tokens of a part of order 1."""
+    part, senders = table.column("part")[0].as_py(), table.column("sender").to_pylist()
+    data = [_planes(total[place[a:b]]) for a, b in zip(edges, edges[1:])]
+    zeros = [0] * len(senders)
+    return pa.table({"receiver": pa.array([*senders, None], pa.int64()), "part": pa.array([part] * (len(senders) + 1), pa.int64()), "data": pa.array([*data, None], pa.binary()), "words": pa.array([*zeros, words], pa.int64()), "total": pa.array([*zeros, tokens], pa.int64())})
+
+
+def _summed(messages: DataFrame, teams: int, level: int, bits: int) -> DataFrame:
+    """The answers to the messages of so many teams, of about ``1 << bits`` senders each."""
+    if teams == 1:
+
+        def answer(table: pa.Table) -> pa.Table:
+            _, total, place, edges = _added(table)
+            first = table.column("part")[0].as_py() >> (level * bits) == 1
+            return _answers(table, total, place, edges, int((total > 0).sum()) if first else 0, int(total.sum()) if first else 0)
+
+        return materialize(messages.groupBy("part").applyInArrow(answer, _ANSWER), "counts")
+
+    above_teams = -(-teams >> bits)
+
+    def name(part: int, team: int) -> int:
+        return part << 26 | team
+
+    def merge(table: pa.Table) -> pa.Table:
+        every, sums, _, _ = _added(table)
+        part, team = table.column("part")[0].as_py(), table.column("team")[0].as_py()
+        return pa.Table.from_batches(list(_dealt(part >> (level * bits), every, sums, 64 - (level + 1) * bits, team % above_teams, name(part, team))))
+
+    onward = materialize(messages.groupBy("part", "team").applyInArrow(merge, _MESSAGE), "requests")
+    above = _summed(onward, above_teams, level + 1, bits)
+    back = above.filter("receiver is not null").select(F.shiftright("receiver", 26).alias("part"), F.col("receiver").bitwiseAND((1 << 26) - 1).alias("team"), F.lit(None).cast("long").alias("sender"), F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("counts"), F.col("part").alias("finer"), "data")
+    own = messages.withColumns({"finer": F.lit(None).cast("long"), "data": F.lit(None).cast("binary")})
+
+    def hand_down(table: pa.Table) -> pa.Table:
+        asked = table.filter(pc.is_valid(table.column("sender")))
+        got = sorted(zip(*(table.filter(pc.is_null(table.column("sender"))).column(c).to_pylist() for c in ("finer", "data"))))
+        _, _, place, edges = _added(asked)
+        return _answers(asked, np.concatenate([_whole(d, "<u8") for _, d in got]), place, edges, 0, 0)
+
+    down = own.unionByName(back).groupBy("part", "team").applyInArrow(hand_down, _ANSWER).filter("receiver is not null")
+    return materialize(down.unionByName(above.filter("receiver is null")), "counts")
 
 
 class _Counts:
@@ -213,35 +276,27 @@ def fit_weights(cells: np.ndarray, counts: np.ndarray, bucket: np.ndarray, order
 
 def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """Scores every whole text by the model learned from the rows outside the held-out tenth."""
-    spark = docs.sparkSession
     packed = blocks(docs)
-    size = packed.agg(F.sum("size")).first()[0] or 0
-    bits = max(3, (size // PART_BYTES).bit_length())
+    teams = max(1, -(-packed.count() >> FAN_BITS))
     documents = docs.filter(fold() != 0).count()
 
     def request(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                for part, block, keys, counts in _requests(row["block"], row["payload"], order, bits):
-                    yield pa.record_batch([pa.array([part], pa.int32()), pa.array([block], pa.int64()), pa.array([keys], pa.binary()), pa.array([counts], pa.binary())], names=["part", "block", "keys", "counts"])
+                yield from _requests(row["block"], row["payload"], order, FAN_BITS, teams)
 
-    asked = packed.select("block", "payload").mapInArrow(request, "part int, block long, keys binary, counts binary")
-    answers = asked.groupBy("part").applyInArrow(lambda t: _answers(t, bits), "block long, part int, data binary")
-    answers = materialize(answers, "counts")
-    vocabulary = total = 0
-    for row in answers.filter("block = -1").select("data").toLocalIterator():  # a row per part
-        v, n = np.frombuffer(row["data"], "<u8")
-        vocabulary, total = vocabulary + int(v), total + int(n)
+    asked = packed.select("block", "payload").mapInArrow(request, _MESSAGE)
+    answers = _summed(asked, teams, 1, FAN_BITS)
+    sums = answers.agg(F.sum("words"), F.sum("total")).first()
+    vocabulary, total = sums[0] or 0, sums[1] or 0
 
-    both = packed.select("block", F.lit(-1).alias("part"), F.col("payload").alias("data")).unionByName(answers.filter("block >= 0"))
+    both = packed.select("block", F.lit(-1).alias("part"), F.col("payload").alias("data")).unionByName(answers.filter("receiver is not null").select(F.col("receiver").alias("block"), "part", "data"))
 
     def counted(table: pa.Table) -> _Counts:
         parts = dict(zip(table.column("part").to_pylist(), table.column("data").to_pylist()))
         payload = parts.pop(-1)
         return _Counts(payload, list(parts.items()), order, total, documents)
 
-    names = [f"q{n}" for n in range(1, order + 1)]
-
     def histogram(table: pa.Table) -> pa.Table:
         c = counted(table)
         mine = np.repeat(~c.held, np.diff(c.edges))
