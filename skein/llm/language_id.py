@@ -9,11 +9,18 @@ hash of the id); nothing but the text enters a prediction.
 Edge cases: a text that is null, empty or has no letter gives ``und`` with score 0, and so
 does every text if there is nothing to learn from; with one learned language all others
 give it. Rows whose lang is null aren't learned from. Repeated rows are predicted alike;
-other columns are ignored.
+other columns are ignored. Ties go to the class whose name comes first; very long texts are
+read whole. ``keep_identified`` goes by the prediction: it drops what isn't predicted to be one
+of the wanted languages, and what the machines can't tell (a score under ``FLOOR``) since it is
+unlike all texts that they learned from (a cosine with their mean under ``NEAR``; texts in two
+learned languages are hard to tell, too, but near). Texts of fewer than ``SHORT`` letters hold
+too few n-grams for that and go by the language only.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -35,6 +42,9 @@ FAMILIES = {
     "indic": ("hi", "bn", "ur", "mr", "ne"),
 }
 UNKNOWN = "und"
+#: Score and nearness under which ``keep_identified`` takes a text for none of the learned
+#: languages, and letters that this takes.
+FLOOR, NEAR, SHORT = 0.5, 0.3, 20
 _LETTER = regex.compile(r"\p{L}").search
 #: Bytes that stay: a-z and all of other scripts' bytes; the rest become one space.
 _KEEP = np.array([b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
@@ -103,6 +113,8 @@ class Model:
         of, families = np.array(langs, object), np.array([family_of(x) for x in langs], object)
         self.family = _Vote(x, families) if langs else None
         self.within = {f: _Vote(x[families == f], of[families == f]) for f in self.family.classes} if langs else {}
+        mean = x.mean(0) if langs else np.ones(x.shape[1])
+        self.mean = mean / np.linalg.norm(mean)
 
     def predict(self, x: np.ndarray) -> list[tuple[str, float]]:
         if self.family is None or not len(x):
@@ -146,7 +158,8 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Adds ``lang_pred`` and ``score`` to the columns ``keep`` (default: all)."""
+    """Adds ``lang_pred``, ``score`` and ``nearness`` (the cosine of a text's features with the
+    mean of the learned ones) to the columns ``keep`` (default: all)."""
     spark = docs.sparkSession
     bounded_batches(spark)
     keep = docs.columns if keep is None else keep
@@ -160,28 +173,36 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
             for part in slices(batch, "body"):
                 texts = part.column("body").to_pylist()
                 rows = [i for i, t in enumerate(texts) if t and _LETTER(t)]
-                out = [(UNKNOWN, 0.0)] * len(texts)
+                out, near = [(UNKNOWN, 0.0)] * len(texts), np.zeros(len(texts))
                 if rows:
-                    for i, found in zip(rows, model.predict(np.array([features(texts[i]) for i in rows]))):
+                    x = np.array([features(texts[i]) for i in rows])
+                    near[rows] = x @ model.mean
+                    for i, found in zip(rows, model.predict(x)):
                         out[i] = found
-                columns = [part.column(i) for i in range(len(keep))] + [pa.array([x[0] for x in out]), pa.array([x[1] for x in out], pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, names=[f"k{i}" for i in range(len(keep))] + ["lang_pred", "score"])
+                columns = [part.column(i) for i in range(len(keep))] + [pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64()), pa.array(near)]
+                yield pa.RecordBatch.from_arrays(columns, names=[f"k{i}" for i in range(len(keep))] + ["lang_pred", "score", "nearness"])
 
-    return inside.mapInArrow(run, f"{kinds}, lang_pred string, score double").toDF(*keep, "lang_pred", "score")
+    return inside.mapInArrow(run, f"{kinds}, lang_pred string, score double, nearness double").toDF(*keep, "lang_pred", "score", "nearness")
 
 
 def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """doc_id, held_out, lang_pred, score: learned from rows outside the held-out third."""
     model = train(docs.filter(fold("doc_id", 3) != 1), per_language)
     out = docs.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "text")
-    return predict(out, model, "text", ["doc_id", "held_out"])
+    return predict(out, model, "text", ["doc_id", "held_out"]).drop("nearness")
 
 
-def keep_identified(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """The rows of ``docs`` whose language can be told; those without a letter go."""
+def keep_identified(docs: DataFrame, languages: Sequence[str] | None = None, floor: float = FLOOR, near: float = NEAR, per_language: int = PER_LANGUAGE) -> DataFrame:
+    """The rows of ``docs`` that are predicted to be in one of ``languages`` (default: any that
+    was learned), but for those that fit none of the learned ones. Without any labelled row
+    nothing is learned and every text with a letter stays."""
     model = train(docs.filter(fold("doc_id", 3) != 1), per_language)
+    if model.family is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     kept = [f"`{c}`" for c in docs.columns]
-    names = {c: f"{c}_" for c in ("lang_pred", "score") if c in docs.columns}
+    names = {c: f"{c}__own" for c in ("lang_pred", "score", "nearness") if c in docs.columns}
     out = predict(docs.withColumnsRenamed(names), model)
-    back = {v: k for k, v in names.items()}
-    return out.filter(F.col("lang_pred") != UNKNOWN).drop("lang_pred", "score").withColumnsRenamed(back).select(*kept)
+    fits = (F.col("score") >= floor) | (F.col("nearness") >= near) | (F.length(F.regexp_replace("text", r"\P{L}", "")) < SHORT)
+    wanted = F.col("lang_pred").isin(*languages) if languages is not None else F.lit(True)
+    out = out.filter((F.col("lang_pred") != UNKNOWN) & wanted & fits)
+    return out.drop("lang_pred", "score", "nearness").withColumnsRenamed({v: k for k, v in names.items()}).select(*kept)
