@@ -2,6 +2,14 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a table that is written as Parquet and
 read again as the next stage's docs. All but the last return the columns of documents.
+
+Edge cases: a row whose text is null, empty or without a letter has no language and goes in
+the first stage, so later ones only meet texts; rows of one id are judged by their own
+texts until MinHash keeps one row for the id (rows with a null id stay, each for itself);
+repeated rows leave one; ties of near copies go to the smallest id; very long texts are
+read whole by every stage; an empty table on either side, or one without any language to
+learn, gives an empty result or keeps every row that has a letter; other columns, whatever
+their names, come through all stages but the last.
 """
 
 from __future__ import annotations
@@ -16,7 +24,8 @@ from skein.llm.common import shared_dir
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without a letter go."""
+    """Documents that are predicted to be in one of the learned languages; those without a
+    letter, and texts that fit none of them, go."""
     return language_id.keep_identified(docs)
 
 
