@@ -5,7 +5,6 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from skein.llm import bitplane, chat_format, decontaminate, html_tree, interpolated_lm, language_id, line_templates, minhash, piece_bpe, pq_dedup
 
 PIECES, BYTES = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")
@@ -60,25 +59,22 @@ def op10_line_templates(spark, sf_dir):
     return line_templates.dedup_lines(table(spark, sf_dir, "documents"))
 
 
-def pipeline(spark, sf_dir):
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 def queries():
-    own = [op1_html_tree, op2_sentencepiece, op3_decontaminate, op4_bit_planes, op5_pq_dedup, op6_interpolated_lm, op7_chat_format, op8_minhash, op9_language_id, op10_line_templates, pipeline]
+    own = [op1_html_tree, op2_sentencepiece, op3_decontaminate, op4_bit_planes, op5_pq_dedup, op6_interpolated_lm, op7_chat_format, op8_minhash, op9_language_id, op10_line_templates]
     return {f.__name__: f for f in own}
 
 
-_LINES = """with d as (select doc_id, text, list_transform(string_split(text, chr(10)), lambda l: trim(regexp_replace(regexp_replace(l, '[^\\s0-9]*[0-9]\\S*', '<*>', 'g'), '\\s+', ' ', 'g'))) ms from documents),
-l as (select doc_id, unnest(range(len(ms))) pos, unnest(ms) t from d),
-k as (select doc_id, pos, t, coalesce(lag(t) over w, chr(1)) || chr(2) || coalesce(lead(t) over w, chr(1)) near, string_split(t, ' ') w from l where t <> '' window w as (partition by doc_id order by pos)),
-r as (select *, len(w) - 3 tail, case when len(w) >= 7 then len(w) || ' ' || array_to_string(w[1:3], ' ') end leaf from k where (length(t) - length(replace(t, '<*>', ''))) * 2 <= 3 * len(w)),
-q as (select *, array_to_string(w[4:3 + tail // 4], ' ') p0, array_to_string(w[4 + tail // 4:3 + tail * 2 // 4], ' ') p1, array_to_string(w[4 + tail * 2 // 4:3 + tail * 3 // 4], ' ') p2, array_to_string(w[4 + tail * 3 // 4:3 + tail], ' ') p3 from r),
-ke as (select t from (select t, doc_id, arg_min(near, pos) near from q group by t, doc_id) group by t having count(*) >= 3 and count(distinct near) >= 3 and 2 * count(distinct near) >= count(*)),
-lv as (select leaf from q where leaf is not null group by leaf having count(*) >= 3 and min(t) < max(t) and (min(p0) = max(p0))::int + (min(p1) = max(p1))::int + (min(p2) = max(p2))::int + (min(p3) = max(p3))::int >= 3),
-le as (select leaf from (select leaf, doc_id, arg_min(near, pos) near from q semi join lv using (leaf) group by leaf, doc_id) group by leaf having count(*) >= 3 and count(distinct near) >= 3 and 2 * count(distinct near) >= count(*)),
-gone as (select doc_id, pos from q where t in (select t from ke) or leaf in (select leaf from le)),
-o as (select doc_id, unnest(range(len(ms))) pos, unnest(string_split(text, chr(10))) line from d)
+#: A line is dropped if its template, or one of its four groups, is in documents of three different texts.
+_LINES = """with d as (select doc_id, string_split(text, chr(10)) raw from documents),
+m as (select *, list_transform(raw, lambda l: trim(regexp_replace(regexp_replace(l, '[^\\s0-9]*[0-9]\\S*', '<*>', 'g'), '\\s+', ' ', 'g'))) ms from d),
+l as (select doc_id, md5(array_to_string(list_filter(ms, lambda t: t <> ''), chr(10))) copy, unnest(range(len(ms))) pos, unnest(ms) t, unnest(raw) line from m),
+w as (select *, string_split(t, ' ') w from l where t <> ''),
+q as (select *, len(w) - 3 tail, 2 * ((length(t) - length(replace(t, '<*>', ''))) // 3) > len(w) own, len(w) || chr(1) || array_to_string(w[1:3], ' ') leaf from w),
+p as (select *, list_transform(range(4), lambda j: array_to_string(w[4 + tail * j // 4:3 + tail * (j + 1) // 4], ' ')) p from q),
+k as (select doc_id, pos, copy, unnest(case when own then ['=' || trim(regexp_replace(line, '\\s+', ' ', 'g'))] when tail < 4 then ['t' || t]
+  else list_prepend('t' || t, list_transform(range(4), lambda j: 'g' || j || chr(1) || leaf || chr(1) || array_to_string(list_transform(range(4), lambda i: case when i = j then '' else p[i + 1] end), chr(1)))) end) key from p),
+gone as (select distinct doc_id, pos from k where key in (select key from k group by key having count(distinct copy) >= 3)),
+o as (select doc_id, unnest(range(len(raw))) pos, unnest(raw) line from d)
 select doc_id, coalesce(string_agg(line, chr(10) order by pos) filter (g is null), '') text, count(*)::bigint n_lines, count(g)::bigint n_dropped from (select o.*, gone.pos g from o left join gone using (doc_id, pos)) group by doc_id"""
 
 
