@@ -9,18 +9,23 @@ from pyspark.sql import functions as F
 
 from skein.functions.text import contains_any, let, sentences, strip
 
-_LINK = r"\[([^\]]*)\]\([^)]*\)"
+# fixed values: markup, and how many rounds nested links take at most
+_LINK, _IMAGE, _ROUNDS = r"\[([^\]]*)\]\([^)]*\)", r"!\[([^\]]*)\]\([^)]*\)", 24
 
 
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def _bare_links(t: Column, depth: int = 4) -> Column:
-    """Markdown links as their text; nested ones to the given depth."""
-    for _ in range(depth):
-        t = F.regexp_replace(t, _LINK, "$1")
-    return t
+def words(text: Column) -> Column:
+    """Runs without white space."""
+    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+
+
+def _bare_links(t: Column) -> Column:
+    """Markdown links as their text, nested ones from the inside out; then images."""
+    inner = F.aggregate(F.sequence(F.lit(1), F.lit(_ROUNDS)), t, lambda a, _: F.when(F.contains(a, F.lit("](")), F.regexp_replace(a, _LINK, "$1")).otherwise(a))
+    return F.when(F.contains(t, F.lit("](")), F.regexp_replace(inner, _IMAGE, "$1")).otherwise(t)
 
 
 def sanitize_markdown(text: Column | str) -> Column:
@@ -43,12 +48,16 @@ def strip_links(text: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(t, r"\s{2,}", " "), r"\(\s*\)", ""))
 
 
-def strip_link_soup(text: Column | str, most_links: int = 4, under: int = 800) -> Column:
-    """Drops short lines that are mostly links; the text itself if nothing is left."""
-    t = F.trim(_c(text))
-    soup = lambda x: (F.regexp_count(x, F.lit(r"\[[^\]]+\]\([^)]+\)")) >= most_links) & (F.length(x) < under)
-    t = F.when(F.regexp_instr(t, F.lit(r"\s+\*\s+\*\s+\[")) >= 25, F.trim(F.regexp_replace(t, r"(?s)\s+\*\s+\*\s+\[.*$", ""))).otherwise(t)
-    kept = F.trim(F.array_join(F.filter(F.split(t, "\n"), lambda x: ~soup(x)), "\n"))
+def strip_link_soup(text: Column | str, most_links: int = 4, under: int = 800, cut_at: str = r"/pubs\?", cut_from: int = 8) -> Column:
+    """Cuts at a list of starred links, and in a text of ``cut_from`` links or more at the first
+    one to ``cut_at``; drops short lines that are mostly links. The text itself if nothing is
+    left."""
+    links = lambda x: F.regexp_count(x, F.lit(r"\[[^\]]+\]\([^)]+\)"))
+    stars, listed = r"\s+\*\s+\*\s+\[", rf"\s+\[[^\]]+\]\({cut_at}"
+    cut = lambda x, pattern, least: F.when(F.regexp_instr(x, F.lit(pattern)) > least, F.trim(F.regexp_replace(x, rf"(?s){pattern}.*$", ""))).otherwise(x)
+    t = cut(F.trim(_c(text)), stars, 24)
+    t = F.when(links(t) >= cut_from, cut(t, listed, 40)).otherwise(t)
+    kept = F.trim(F.array_join(F.filter(F.split(t, "\n"), lambda x: ~((links(x) >= most_links) & (F.length(x) < under))), "\n"))
     return F.when(kept != "", kept).otherwise(t)
 
 
@@ -167,8 +176,9 @@ def coverage(wanted: Column, given: Column) -> Column:
 
 
 def anchors(tokens: Column, low_signal: Sequence[str] = ()) -> Column:
-    """Tokens of four characters or more that say something."""
-    return F.array_distinct(F.filter(tokens, lambda t: (F.length(t) >= 4) & ~t.isin(*low_signal) if low_signal else F.length(t) >= 4))
+    """Tokens of four characters or more that don't start with a stem that says nothing."""
+    says = lambda t: ~F.greatest(F.lit(False), *[t.startswith(s) for s in low_signal], F.lit(False))
+    return F.array_distinct(F.filter(tokens, lambda t: (F.length(t) >= 4) & says(t)))
 
 
 def same_stem(a: Column, b: Column) -> Column:

@@ -72,9 +72,10 @@ def content_hash(text: Column | str) -> Column:
     return F.substring(F.sha2(_c(text), 256), 1, 16)
 
 
-def detect_language(text: Column | str, own: str, other: str, name: str) -> Column:
-    """``name`` if the text has at least as many letters of one class as of the other."""
-    return F.when(F.regexp_count(_c(text), F.lit(f"[{own}]")) >= F.regexp_count(_c(text), F.lit(f"[{other}]")), name).otherwise("other")
+def detect_language(text: Column | str, own: str, other: str, name: str, weight: int = 1) -> Column:
+    """``name`` if the text has at least as many letters of one class as of the other, each of
+    which counts ``weight`` times."""
+    return F.when(F.regexp_count(_c(text), F.lit(f"[{own}]")) >= weight * F.regexp_count(_c(text), F.lit(f"[{other}]")), name).otherwise("other")
 
 
 def archived(text: Column | str, published: Column | None = None, before: int = 2020) -> Column:
@@ -141,6 +142,15 @@ def titles(html: Column | str) -> Column:
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 
+def markdown_title(text: Column | str, fallback: Column) -> Column:
+    """The first heading, else the first line of four characters or more (cut at 160)."""
+    t = _c(text)
+    heading = F.nullif(strip(F.regexp_extract(t, r"(?m)^#{1,6}\s+(.+?)\s*$", 1)), F.lit(""))
+    lines = F.transform(F.split(t, "\r\n|\n|\r"), lambda x: strip(F.regexp_replace(strip(x), "^#+|#+$", "")))
+    line = F.get(F.filter(lines, lambda x: F.length(x) >= 4), F.lit(0))
+    return F.coalesce(heading, F.substring(line, 1, 160), fallback)
+
+
 def first_text(*columns: tuple[str, str]) -> tuple[Column, Column]:
     """The first column that isn't blank, and its mode; empty text and mode ``empty`` if none
     is. columns: (column, mode)."""

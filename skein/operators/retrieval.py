@@ -15,6 +15,7 @@ from skein.functions import text as T
 from skein.functions import urls as U
 from skein.rules import Profile
 
+# fixed values: BM25's constants
 K1, B = 1.5, 0.75
 #: Bytes of query vectors that are broadcast at once; more queries go in blocks.
 QUERY_BYTES = 32 << 20
@@ -23,12 +24,25 @@ QUERY_BYTES = 32 << 20
 # --- lexical -----------------------------------------------------------------------------
 
 
+def term_counts(tokens: Column) -> Column:
+    """array<struct<term, tf>>: the distinct tokens of a row and how often each occurs, counted
+    within the row."""
+
+    def runs(t: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1)))
+        ends = lambda at: F.transform(at, lambda p, j: F.struct(F.get(t, p).alias("term"), (F.coalesce(F.get(at, j + 1), F.size(t)) - p).alias("tf")))
+        return F.when(F.size(t) > 0, T.let(starts, ends))
+
+    return T.let(F.array_sort(tokens), runs)
+
+
 def postings(docs: DataFrame, key: str, text: str, stopwords: Sequence[str] = ()) -> DataFrame:
-    """(term, key, tf, dl): a row per document and distinct term. Counting is per row, so the
-    only shuffles are those of document frequencies and of searches."""
-    tokens = docs.select(key, T.tokenize(text, stopwords).alias("t"))
-    rows = tokens.select(key, F.size("t").alias("dl"), F.explode("t").alias("term"))
-    return rows.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    """(term, key, tf, dl): a row per document and distinct term. Counting is within the row,
+    so the only shuffles are those of document frequencies and of searches."""
+    rows = docs.select(key, T.let(T.tokenize(text, stopwords), lambda t: F.struct(F.size(t).alias("dl"), term_counts(t).alias("terms"))).alias("__t"))
+    # outer, so that no filter on the array's size computes it twice
+    rows = rows.select(key, F.col("__t.dl").alias("dl"), F.explode_outer("__t.terms").alias("__x"))
+    return rows.select(F.col("__x.term").alias("term"), key, F.col("__x.tf").cast("long").alias("tf"), "dl").filter("term is not null")
 
 
 def stats(docs: DataFrame, text: str, stopwords: Sequence[str] = ()) -> DataFrame:
@@ -86,8 +100,9 @@ def lexical_search(docs: DataFrame, queries: DataFrame, k: int, profile: Profile
 def dense_search(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", exclude_self: bool = False) -> DataFrame:
     """(query_id, key, score, rank): exact inner products in double precision.
 
-    The queries are a stated set: they go out in blocks of bounded size and meet all vectors
-    in matrix products; a batch of vectors returns at most k rows a query."""
+    The queries are a stated set, much smaller than the vectors: they go out in blocks of
+    ``QUERY_BYTES`` and each block meets all vectors in matrix products, so work is queries
+    times vectors. A batch of vectors returns k rows a query (and ties of the last)."""
     spark = vectors.sparkSession
     kind = vectors.schema[key].dataType.simpleString()
     schema = f"query_id long, {key} {kind}, score double"
@@ -105,10 +120,10 @@ def dense_search(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec
                 if exclude_self:
                     scores[ids[:, None] == names[None, :]] = -np.inf
                 n = min(k, len(rows))
-                order = np.lexsort((np.broadcast_to(names, scores.shape), -scores), axis=1)[:, :n]
-                q, c = np.repeat(np.arange(len(ids)), n), order.reshape(-1)
-                on = scores[q, c] > -np.inf
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q[on]], pa.int64()), pa.array(names[c[on]]), pa.array(scores[q[on], c[on]])], names=["query_id", key, "score"])
+                # what reaches the n-th best score; ties are cut after all batches have met
+                least = np.partition(scores, len(rows) - n, axis=1)[:, len(rows) - n]
+                q, c = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q], pa.int64()), pa.array(names[c]), pa.array(scores[q, c])], names=["query_id", key, "score"])
 
         return run
 
@@ -137,7 +152,13 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm < 1e-8, 0.0).otherwise(dot(a, b) / norm)
 
 
-# --- queries: intents and facets ---------------------------------------------------------------
+# --- queries: tokens, intents and facets ---------------------------------------------------------------
+
+
+def analysed(queries: DataFrame, profile: Profile) -> DataFrame:
+    """Adds tokens (expanded), intents and facets to (query_id, query); once a query."""
+    q = F.col("query")
+    return queries.withColumns({"tokens": T.expand(T.tokenize(q, profile.stopwords), profile.expansions), "intents": intents(q, profile), "facets": facets(q, profile)})
 
 
 def intents(text: Column, profile: Profile) -> Column:
@@ -264,16 +285,29 @@ def normalize_stages(hits: DataFrame) -> DataFrame:
     return hits.withColumn("score", F.round(F.col("score") / F.when(most > 0, most).otherwise(1.0), 6))
 
 
-def fuse(hits: DataFrame, key: str = "doc_id") -> DataFrame:
+def fuse(hits: DataFrame, key: str = "doc_id", normalized: bool = False) -> DataFrame:
     """The best of each hit's stages (the first of equals), ranked. hits: query_id, key, stage,
     stage_order, score, policy_score."""
-    scored = normalize_stages(hits).withColumn("adjusted", F.round(F.col("score") + F.col("policy_score"), 6))
+    scored = (hits if normalized else normalize_stages(hits)).withColumn("adjusted", F.round(F.col("score") + F.col("policy_score"), 6))
     first = Window.partitionBy("query_id", key).orderBy(F.desc("adjusted"), "stage_order")
     best = scored.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
     rank = Window.partitionBy("query_id").orderBy(F.desc("adjusted"), "stage_order", key)
     return best.withColumn("rank", F.row_number().over(rank))
 
 
+def combined(hits: DataFrame, meta: DataFrame, asked: DataFrame, profile: Profile, key: str = "doc_id") -> DataFrame:
+    """Stages' hits (query_id, key, score, stage, stage_order) under the policy, fused and
+    ranked. meta: the hits' columns that the policy reads; asked: analysed queries."""
+    # stages are normalised before hits that the corpus doesn't have drop out
+    known = normalize_stages(hits).join(meta, key).join(asked, "query_id")
+    return fuse(policy(known, profile), key, normalized=True).withColumnRenamed("score", "semantic_score").withColumnRenamed("adjusted", "score")
+
+
+def best(hits: DataFrame, k: int, source: str = "source") -> DataFrame:
+    """The first k after the first max(2k, 8) are made diverse."""
+    return diversify(hits, max(2 * k, 8), source).filter(F.col("place") <= k)
+
+
 def diversify(hits: DataFrame, k: int, source: str = "source", most: int = 2) -> DataFrame:
     """At most ``most`` hits a source in order of rank, then the others, k in all."""
     nth = F.row_number().over(Window.partitionBy("query_id", source).orderBy("rank"))

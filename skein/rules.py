@@ -8,6 +8,9 @@ from dataclasses import dataclass, field, fields
 
 # fixed values: Russian function words that the tokenizer drops
 STOPWORDS = ("и", "в", "на", "по", "с", "к", "о", "об", "у", "за", "из", "для", "что", "как", "какие", "какой", "где", "это", "есть", "ли", "или")
+# fixed values: words that choosing a spoken sentence passes over, and stems that anchor nothing
+SPEAKER_STOPWORDS = ("что", "как", "где", "когда", "про", "это", "есть", "для", "или", "ли")
+LOW_SIGNAL_STEMS = ("расска", "подска", "подроб", "вопрос", "ответ")
 
 
 @dataclass(frozen=True)
@@ -22,11 +25,15 @@ class Intent:
     trusted_sources: tuple[str, ...] = ()
     fact_tokens: tuple[str, ...] = ()
     boost_terms: tuple[str, ...] = ()
+    noisy_sentences: tuple[str, ...] = ()
     source_bonus: float = 0.18
-    min_evidence: float = 0.2
-    min_fact_hits: int = 1
+    min_evidence: float = 0.35
+    min_fact_hits: int = 2
     display_summary: str = ""
     speaker_summary: str = ""
+    #: What an answer says (a pattern in its lower-case text) that no summary may replace.
+    display_keeps: str = ""
+    speaker_keeps: str = ""
     stale_penalty: float = 0.08
     faq_penalty: float = 0.0
 
@@ -83,6 +90,15 @@ class Profile:
     wake_phrases: tuple[str, ...] = ()
     wrong_identity: tuple[str, ...] = ()
     identity: str = ""
+    speaker_stopwords: tuple[str, ...] = SPEAKER_STOPWORDS
+    low_signal_stems: tuple[str, ...] = LOW_SIGNAL_STEMS
+    #: A pattern of a sentence that answers mustn't begin with, what stands in for an empty answer,
+    #: and what one that isn't sure says.
+    leading: str = ""
+    fallback: str = ""
+    uncertain: str = ""
+    #: Marks of text that is a menu rather than an answer.
+    menu_markers: tuple[str, ...] = ()
 
     @classmethod
     def from_json(cls, text: str) -> Profile:
@@ -114,8 +130,8 @@ SYNTHETIC = Profile(
     },
     facet_support={"motion": ("english",), "place": ("german", "english"), "person": ("mobile",), "cost": ("french", "feed")},
     intents={
-        "alpha": Intent(("with", "from"), 3, preferred_sources=("://blog.", "://www."), denied_sources=("spam-farm.",), trusted_sources=("example.net",), fact_tokens=("with", "from", "this"), source_bonus=0.26, stale_penalty=0.3),
-        "beta": Intent(("der", "und"), 2, preferred_sources=("/de/",), allowed_sources=("example.",), fact_tokens=("der", "die"), source_bonus=0.22),
+        "alpha": Intent(("with", "from"), 3, preferred_sources=("://blog.", "://www."), denied_sources=("spam-farm.",), trusted_sources=("example.net",), fact_tokens=("with", "from", "this"), boost_terms=("ontion", "thther"), noisy_sentences=("http",), source_bonus=0.26, stale_penalty=0.3, display_summary="The alpha pages tell.", speaker_summary="See the alpha pages.", display_keeps=r"\b\d{3,}\b", speaker_keeps=r"\b\d{4,}\b"),
+        "beta": Intent(("der", "und"), 2, preferred_sources=("/de/",), allowed_sources=("example.",), fact_tokens=("der", "die"), source_bonus=0.22, min_evidence=0.2, min_fact_hits=1, display_summary="Beta weiß es."),
         "gamma": Intent(("les", "une"), 2, preferred_sources=("/fr/",), allowed_sources=("/fr/", "/en/"), fact_tokens=("les",), source_bonus=0.24, faq_penalty=0.12),
     },
     hosts=("example.com", "example.org", "example.net"),
@@ -140,4 +156,7 @@ SYNTHETIC = Profile(
     wake_phrases=("hey computer",),
     wrong_identity=("thonre",),
     identity="This is the one.",
+    speaker_stopwords=("the", "and", "with"),
+    low_signal_stems=("thing", "anon"),
+    menu_markers=("enin", "onth"),
 )
