@@ -103,7 +103,8 @@ def number_table(spark: SparkSession, upto: int = 9999) -> DataFrame:
 
 
 def digits_in_words(text: str) -> str:
-    """Leading zeros spoken one by one, then the number; digit by digit beyond 9999."""
+    """A run of digits in words, outside of Spark: leading zeros one by one, then the number;
+    digit by digit beyond 9999."""
     zeros = len(text) - len(text.lstrip("0"))
     if zeros == len(text) or len(text) - zeros > 4:
         return " ".join(UNITS[int(d)] for d in text)
@@ -132,11 +133,49 @@ def speech_sentences(text: Column | str) -> Column:
     return merge_short(parts)
 
 
-def speech_text(text: Column | str, abbreviations: Sequence[tuple[str, str]] = ()) -> Column:
-    """Markup off, dashes and brackets as pauses, abbreviations spelled out, in order."""
-    t = F.regexp_replace(F.trim(_c(text)), r"[*_`#>\[\]]", "")
-    for pattern, to in ((r"\s+[—–-]\s+", ", "), (r"[()«»\"]", ""), (r";", ","), (r"\.{3,}", "…"), (r"\s+", " ")):
+# fixed values: what is written short and how it is said, in the order of replacement
+ABBREVIATIONS = (
+    (r"\bул\.", "улица"), (r"\bпр\.", "проспект"), (r"\bпр-т\.?", "проспект"), (r"\bд\.", "дом"), (r"\bкорп\.", "корпус"), (r"\bстр\.", "строение"), (r"\bкв\.", "квартира"), (r"\bкаб\.", "кабинет"), (r"\bауд\.", "аудитория"), (r"\bэт\.", "этаж"),
+    (r"\bпроф\.", "профессор"), (r"\bдоц\.", "доцент"), (r"\bст\.\s*пр\.", "старший преподаватель"), (r"\bзав\.", "заведующий"),
+    (r"\bлаб\.", "лабораторная"), (r"\bпр\.\s*зан\.", "практическое занятие"), (r"\bсем\.", "семестр"), (r"\bэкз\.", "экзамен"), (r"\bзач\.", "зачёт"),
+    (r"\bг\.", "город"), (r"\bт\.е\.", "то есть"), (r"\bт\.д\.", "так далее"), (r"\bт\.п\.", "тому подобное"), (r"\bт\.к\.", "так как"), (r"\bтел\.", "телефон"), (r"\bдр\.", "другое"), (r"\bсм\.", "смотри"), (r"\bрис\.", "рисунок"), (r"\bтабл\.", "таблица"), (r"\bим\.", "имени"), (r"\bнапр\.", "например"),
+)
+MEASURES = ((r"\bкг\b", "килограмм"), (r"\bг\b(?=[\s,\.])", "грамм"), (r"\bкм\b", "километров"), (r"\bм\b(?=[\s,\.])", "метров"), (r"\bсм\b", "сантиметров"), (r"\bмм\b", "миллиметров"), (r"\bч\b(?=[\s,\.])", "часов"), (r"\bмин\b", "минут"), (r"\bсек\b", "секунд"), (r"\bруб\b\.?", "рублей"))
+
+
+def spoken_number(n: Column) -> Column:
+    """Russian cardinal of a column of 0 to 9999, in the JVM."""
+    of = lambda names, i: F.get(F.array(*[F.lit(x) for x in names]), i.cast("int"))
+    rest = n % 100
+    low = F.when(rest < 20, of(UNITS, rest)).otherwise(F.concat_ws(" ", of(TENS, F.floor(rest / 10) - 2), F.when(rest % 10 > 0, of(UNITS, rest % 10))))
+    thousand = F.floor(n / 1000)
+    head = of([THOUSANDS.get(i) or f"{UNITS[i]} тысяч" for i in range(10)], thousand)
+    return F.concat_ws(" ", F.when(thousand > 0, head), F.when(F.floor(n / 100) % 10 > 0, of(HUNDREDS, F.floor(n / 100) % 10 - 1)), F.when((rest > 0) | (n == 0), low))
+
+
+def spoken_digits(digits: Column) -> Column:
+    """A run of at most four digits in words, its leading zeros one by one."""
+    bare_ = F.regexp_replace(digits, "^0+", "")
+    zeros = F.array_repeat(F.lit(UNITS[0]), F.length(digits) - F.length(bare_))
+    return F.array_join(F.concat(zeros, F.when(bare_ != "", F.array(spoken_number(bare_.cast("int")))).otherwise(F.array().cast("array<string>"))), " ")
+
+
+def _each(text: Column, pattern: str, say) -> Column:
+    """The text with every match of the pattern as ``say`` has it."""
+    pieces = F.regexp_extract_all(text, F.lit(f"(?sU)(?:{pattern})|(?:(?!{pattern}).)+"), 0)
+    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(rf"(?U)^(?:{pattern})\z"), say(p)).otherwise(p)), "")
+
+
+def speech_text(text: Column | str, abbreviations: Sequence[tuple[str, str]] = ABBREVIATIONS, measures: Sequence[tuple[str, str]] = MEASURES) -> Column:
+    """Text as it is to be spoken: markup off, dashes and brackets as pauses, abbreviations and
+    measures in full, and compound numbers, times and numbers (to 9999) in words."""
+    t = _c(text)
+    for pattern, to in ((r"\*\*(.+?)\*\*", "$1"), (r"\*(.+?)\*", "$1"), ("`(.+?)`", "$1"), (r"#{1,6}\s*", ""), (r"(?m)^\s*[-*•]\s+", ""), (r"(?m)^\s*\d+\.\s+", ""), ("[—–]", " — "), ('[«»"]', ""), ("[()]", ", "), ("/", " или ")):
         t = F.regexp_replace(t, pattern, to)
-    for short, full in abbreviations:
-        t = F.replace(t, F.lit(short), F.lit(full))
-    return F.trim(t)
+    for pattern, to in (*abbreviations, *measures):
+        t = F.regexp_replace(t, f"(?iU){pattern}", to)
+    t = _each(t, r"\b\d{1,4}(?:-\d{1,4})+\b", lambda p: F.array_join(F.transform(F.split(p, "-"), spoken_digits), " "))
+    hour, minute = lambda p: F.split_part(p, F.lit(":"), F.lit(1)), lambda p: F.split_part(p, F.lit(":"), F.lit(2))
+    t = _each(t, r"\b\d{1,2}:\d{2}\b", lambda p: F.concat_ws(" ", spoken_number(hour(p).cast("int")), F.when(minute(p) != "00", spoken_digits(minute(p)))))
+    t = _each(t, r"\b\d{1,4}\b", spoken_digits)
+    return F.trim(F.regexp_replace(F.regexp_replace(t, r"\s+", " "), r"\s+([,.!?;:])", "$1"))

@@ -83,50 +83,88 @@ def session_states(events: DataFrame, kind: str, by: str, *order: str) -> DataFr
     return events.withColumn("state", state)
 
 
-def vad_segments(frames: pd.DataFrame, start: float = 0.5, stop: float = 0.35, silence: int = 22, longest: int = 780, preroll: int = 16, least: int = 8) -> pd.DataFrame:
-    """Speech segments of one stream's voice probabilities (rows in order): a segment opens
-    at ``start``, with the frames before it; below ``stop`` it trails, and it closes after
-    ``silence`` such frames or ``longest`` in all. Shorter than ``least`` is no speech."""
-    out, state, begun, quiet, number = [], "idle", 0, 0, 0
-    p = frames["prob"].to_numpy()
-
-    def close(at: int) -> None:
-        nonlocal state, number
-        if at - begun + 1 - quiet >= least:
-            out.append((number, max(0, begun - preroll), at, at - begun + 1))
-            number += 1
-        state = "idle"
-
-    for i, x in enumerate(p):
-        if state == "idle":
-            if x >= start:
-                state, begun, quiet = "speech", i, 0
-            continue
-        quiet = quiet + 1 if x < stop or (state == "trailing" and x < start) else 0
-        state = "trailing" if quiet else "speech"
-        if quiet >= silence or i - begun + 1 >= longest:
-            close(i)
-    if state != "idle":
-        close(len(p) - 1)
-    return pd.DataFrame(out, columns=["segment", "first_frame", "last_frame", "n_frames"])
-
-
-def segment_streams(frames: DataFrame, by: str = "stream_id", order: str = "frame") -> DataFrame:
-    """Speech segments of every stream of (stream, frame, prob)."""
+#: What segments speech, in frames of 32 ms: probabilities that open and trail, silence that
+#: closes, frames at most, frames kept from before, frames of a final and of a partial at least,
+#: and frames between partials.
+VAD = {"start": 0.5, "stop": 0.35, "silence": 22, "longest": 780, "preroll": 16, "least": 8, "partial_least": 16, "partial_every": 19}
+
+
+class Segmenter:
+    """One stream's speech segments, frame by frame: a segment opens at ``start``, with the
+    frames before it; below ``stop`` it trails, and it closes after ``silence`` such frames or
+    ``longest`` in all. Shorter than ``least`` is no speech. An open segment gives a partial
+    every ``partial_every`` frames once it has ``partial_least``."""
+
+    def __init__(self, **options) -> None:
+        self.o = {**VAD, **options}
+        self.state, self.begun, self.quiet, self.number, self.at = "idle", 0, 0, 0, -1
+
+    def _row(self, kind: str) -> tuple:
+        return kind, self.number, max(0, self.begun - self.o["preroll"]), self.at, self.at - self.begun + 1
+
+    def close(self) -> list[tuple]:
+        """Ends an open segment."""
+        open_, self.state = self.state != "idle", "idle"
+        if not open_ or self.at - self.begun + 1 - self.quiet < self.o["least"]:
+            return []
+        row = self._row("final")
+        self.number += 1
+        return [row]
+
+    def push(self, prob: float) -> list[tuple]:
+        """(kind, segment, first frame, last frame, frames) rows that a frame completes."""
+        self.at += 1
+        if self.state == "idle":
+            if prob >= self.o["start"]:
+                self.state, self.begun, self.quiet = "speech", self.at, 0
+            return []
+        trails = prob < self.o["stop"] or (self.state == "trailing" and prob < self.o["start"])
+        self.quiet = self.quiet + 1 if trails else 0
+        self.state = "trailing" if self.quiet else "speech"
+        n = self.at - self.begun + 1
+        if self.quiet >= self.o["silence"] or n >= self.o["longest"]:
+            return self.close()
+        return [self._row("partial")] if n % self.o["partial_every"] == 0 and n >= self.o["partial_least"] else []
+
+
+SEGMENT = "kind string, segment long, first_frame long, last_frame long, n_frames long"
+
+
+def segment_streams(frames: DataFrame, by: str = "stream_id", order: str = "frame", partials: bool = False, **options) -> DataFrame:
+    """Speech segments of every stream of (stream, frame, prob); with ``partials`` their partial
+    results as well (``kind``). Frames are streamed in order in bounded memory."""
     kind = frames.schema[by].dataType.simpleString()
-    run = lambda pdf: vad_segments(pdf.sort_values(order)).assign(**{by: pdf[by].iloc[0]})[[by, "segment", "first_frame", "last_frame", "n_frames"]]
-    return frames.groupBy(by).applyInPandas(run, f"{by} {kind}, segment long, first_frame long, last_frame long, n_frames long")
+    rows = frames.select(by, order, "prob").repartition(by).sortWithinPartitions(by, order)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        who, machine = None, None
+        for batch in batches:
+            out = []
+            for u, p in zip(batch[by], batch["prob"]):
+                if machine is None or u != who:
+                    out += [(who, *x) for x in (machine.close() if machine else [])]
+                    who, machine = u, Segmenter(**options)
+                out += [(u, *x) for x in machine.push(p)]
+            yield pd.DataFrame(out, columns=[by, "kind", "segment", "first_frame", "last_frame", "n_frames"])
+        if machine:
+            yield pd.DataFrame([(who, *x) for x in machine.close()], columns=[by, "kind", "segment", "first_frame", "last_frame", "n_frames"])
+
+    out = rows.mapInPandas(run, f"{by} {kind}, {SEGMENT}")
+    return out if partials else out.filter("kind = 'final'").drop("kind")
 
 
 def latest_generation(tasks: DataFrame) -> DataFrame:
     """Recognition tasks that still count: finals, and partials of the newest generation."""
-    newest = F.max("generation").over(Window.partitionBy("stream_id"))
-    return tasks.withColumn("__newest", newest).filter((F.col("kind") == "final") | (F.col("generation") == F.col("__newest"))).drop("__newest")
+    newest = tasks.groupBy(F.col("stream_id").alias("__s")).agg(F.max("generation").alias("__newest"))
+    held = tasks.join(newest, F.col("stream_id").eqNullSafe(F.col("__s")), "left")
+    return held.filter((F.col("kind") == "final") | (F.col("generation") == F.col("__newest"))).drop("__s", "__newest")
 
 
 def retained(files: DataFrame, most: int) -> DataFrame:
-    """Files beyond the newest ``most``, to be deleted."""
-    return files.withColumn("__n", F.row_number().over(Window.orderBy(F.desc("modified"), "path"))).filter(F.col("__n") > most).drop("__n")
+    """Files beyond the newest ``most``, to be deleted. The newest come from a top-k, so no task
+    sees all files."""
+    newest = files.orderBy(F.desc("modified"), "path").limit(most).select("path")
+    return files.join(newest, "path", "left_anti")
 
 
 def filter_by_intent(hits: DataFrame, profile: Profile, intent: str = "intent", source: str = "source") -> DataFrame:

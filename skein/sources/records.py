@@ -6,9 +6,11 @@ import json
 import re
 import time
 import zipfile
-from collections.abc import Callable, Iterator
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 from html.parser import HTMLParser
 from io import BytesIO
+from itertools import islice
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -16,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
+from skein.functions import text as T
+from skein.functions import urls as U
 
 RAW = "url string, title string, markdown string, html string, json string, sourceURL string, published_at string, metadata struct<title:string,published_at:string>, head struct<title:string>, _corrupt_record string"
 
@@ -36,10 +40,41 @@ def write_records(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_crawl(records: DataFrame, path: str, jobs: list[dict], domains: list[str]) -> dict:
+    """A crawl's records, the distinct links to documents in them (sorted), and the manifest,
+    which is written last. jobs: rows with job_id and start_url. Returns the manifest."""
+    spark = records.sparkSession
+    write_records(records, f"{path}/records")
+    held = read_records(spark, f"{path}/records")
+    links = [F.coalesce(U.document_links("html", "markdown", F.coalesce("url", "sourceURL"), d), T.words_in(())) for d in domains]
+    found = held.select(F.explode(F.concat(*links)).alias("url")).distinct() if links else spark.createDataFrame([], "url string")
+    found.orderBy("url").write.mode("overwrite").json(f"{path}/document_links")
+    manifest = {"job_ids": [j["job_id"] for j in jobs], "start_urls": [j["start_url"] for j in jobs if j.get("start_url")], "record_count": held.count(), "status": "completed", "jobs": jobs, "records_path": f"{path}/records", "document_links_path": f"{path}/document_links"}
+    spark.createDataFrame([(json.dumps(manifest, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+    return manifest
+
+
+def write_seed(records: DataFrame, folder: str, url: str, job: str, status: str) -> dict:
+    """One seed's records and manifest, beside the others'."""
+    write_records(records, f"{folder}/{seed_file(url)}")
+    count = read_records(records.sparkSession, f"{folder}/{seed_file(url)}").count()
+    manifest = {"job_id": job, "start_url": url, "status": status, "record_count": count, "records_path": f"{folder}/{seed_file(url)}"}
+    name = seed_file(url).replace(".records.jsonl", ".manifest.json")
+    records.sparkSession.createDataFrame([(json.dumps(manifest, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/{name}")
+    return manifest
+
+
+def paged(pages: Callable[[bytes], Iterable[bytes]], read: Callable[[bytes], str], most: int = 8) -> Callable[[bytes], str]:
+    """A reader of scanned files from one that renders their pages and one that reads a page: the
+    first ``most`` pages' texts."""
+    return lambda content: "\n".join(t for t in (read(p) for p in islice(pages(content), most)) if t.strip())
+
+
 def read_files(spark: SparkSession, root: str, ocr: Callable[[bytes], str] | None = None) -> DataFrame:
     """Hand-made documents (.pdf, .docx, .txt) under a folder: path, url, text, mode, needs_ocr.
 
-    ``ocr`` is the plug point for scanned files; without it their text stays as found."""
+    ``ocr`` is the plug point for scanned files (see ``paged``); without it their text stays as
+    found."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{pdf,docx,txt,md}").load(root)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -53,6 +88,36 @@ def read_files(spark: SparkSession, root: str, ocr: Callable[[bytes], str] | Non
     return out.withColumn("source_url", F.concat(F.lit("manual://"), F.regexp_replace(relative, f"^{re.escape(root)}/", ""))).orderBy("path")
 
 
+def pdf_text(content: bytes) -> str:
+    """The strings that a PDF's pages show, of plain and of deflated streams: what stands in
+    brackets (or as hex) before Tj, TJ and the quote operators."""
+    out = []
+    for found in re.finditer(rb"stream\r?\n(.*?)\r?\nendstream", content, re.S):
+        data = found[1]
+        try:
+            data = zlib.decompressobj().decompress(data)
+        except zlib.error:
+            pass  # a plain stream, or one that isn't text
+        if b"Tj" in data or b"TJ" in data:
+            out.append(data)
+    shown = []
+    for data in out or [content]:
+        for array, one in re.findall(rb"\[((?:[^\[\]()]|\((?:[^()\\]|\\.)*\))*)\]\s*TJ|(\((?:[^()\\]|\\.)*\)|<[0-9A-Fa-f\s]+>)\s*(?:Tj|['\"])", data, re.S):
+            pieces = re.findall(rb"\((?:[^()\\]|\\.)*\)|<[0-9A-Fa-f\s]+>", array or one, re.S)
+            shown.append("".join(_pdf_string(x) for x in pieces))
+    return " ".join(x for x in shown if x.strip())
+
+
+def _pdf_string(raw: bytes) -> str:
+    if raw[:1] == b"<":
+        digits = re.sub(rb"\s", b"", raw[1:-1])
+        data = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+    else:
+        plain = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"", b"f": b""}
+        data = re.sub(rb"\\([0-7]{1,3}|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1].isdigit() else plain.get(m[1], m[1]), raw[1:-1], flags=re.S)
+    return data[2:].decode("utf-16-be", "ignore") if data[:2] == b"\xfe\xff" else data.decode("latin-1")
+
+
 def parse_file(path: str, content: bytes, ocr: Callable[[bytes], str] | None = None) -> tuple[str, str, bool]:
     """(text, mode, needs_ocr) of a file by its name."""
     content = bytes(content)
@@ -64,7 +129,7 @@ def parse_file(path: str, content: bytes, ocr: Callable[[bytes], str] | None = N
         lines = ("".join(t.text or "" for t in p.iter(f"{space}t")) for p in tree.iter(f"{space}p"))
         return "\n".join(x for x in lines if x.strip()), "docx", False
     if kind == "pdf":
-        text = " ".join(m.decode("latin-1") for m in re.findall(rb"\(((?:[^()\\]|\\.)*)\)\s*Tj", content))
+        text = pdf_text(content)
         if len(text.split()) < 30:
             read = ocr(content) if ocr else ""
             return read or text, "ocr" if read else "pdf", not read
@@ -147,11 +212,22 @@ def load_index(spark: SparkSession, path: str, terms: list[str] | None = None, b
     return rows.drop("bucket"), spark.read.parquet(f"{path}/stats")
 
 
+#: Rows whose hashes are joined in one place, in the mean.
+CHECKSUM_ROWS = 100_000
+
+
 def corpus_checksum(chunks: DataFrame, order: str, digest: str) -> DataFrame:
-    """One row: SHA-256 over the chunks' hashes in order. Hashes are joined per range of the
-    order first, so only ranges' texts meet in one place."""
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, digest))), lambda x: x[digest]), "")
-    return chunks.agg(F.sha2(joined, 256).alias("checksum"))
+    """One row: SHA-256 over the chunks' hashes in order.
+
+    Up to ``CHECKSUM_ROWS`` the hashes are joined as they are. Those of a larger corpus are dealt
+    out by a hash of their place, and the checksum is that of the parts' checksums, so that no
+    task holds more than a part; equal chunks give equal checksums either way."""
+    joined = lambda x, by: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, x))), lambda r: r[x]), ""), 256)
+    parts = -(-chunks.count() // CHECKSUM_ROWS)
+    if parts <= 1:
+        return chunks.agg(joined(digest, order).alias("checksum"))
+    dealt = chunks.groupBy(F.pmod(F.xxhash64(order), F.lit(parts)).alias("part")).agg(joined(digest, order).alias("own"))
+    return dealt.agg(joined("own", "part").alias("checksum"))
 
 
 MANIFEST = S.StructType([S.StructField(n, S.StringType()) for n in ("version", "corpus_checksum", "lexical_path", "dense_path", "embedding_model", "reranker_model", "built_at")] + [S.StructField("doc_count", S.LongType()), S.StructField("chunk_count", S.LongType())])

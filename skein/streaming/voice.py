@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -29,36 +31,43 @@ def session_counts(events: DataFrame, gap: str, late: str, by: str = "session_id
     return rows.groupBy(by, F.session_window(at, gap).alias("w")).agg(F.count("*").alias("n_events")).select(by, F.col("w.start").alias("started"), F.col("w.end").alias("closed"), "n_events")
 
 
-def active_sessions(utterances: DataFrame, wake: str, stop: tuple[str, ...], idle_ms: int = 15_000, most_ms: int = 120_000) -> DataFrame:
+def active_sessions(utterances: DataFrame, wake: str, stop: tuple[str, ...], idle_ms: int = 15_000, most_ms: int = 120_000, late: str = "5 seconds") -> DataFrame:
     """The wake-word session machine: a wake word opens a stream's session, a stop word,
     ``idle_ms`` without speech or ``most_ms`` in all close it; what is said meanwhile goes on.
+    A silent session ends by a timer once the stream's time (less ``late``) has passed its end.
 
     utterances: stream_id, text, at (timestamp). Output: stream_id, kind, text."""
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         begun, last = state.get if state.exists else (0, 0)
         out = []
-        rows = pd.concat(list(batches)).sort_values("at")
-        for text, at in zip(rows["text"], rows["at"]):
-            now, low = int(at.timestamp() * 1000), text.lower().strip()
-            if begun and (now - last > idle_ms or now - begun > most_ms):
-                out.append(("timeout", ""))
-                begun = 0
-            if begun and low in stop:
-                out.append(("stop", text))
-                begun = 0
-            elif wake in low:
-                out.append(("wake", low.split(wake, 1)[1].strip(" ,.!?")))
-                begun, last = begun or now, now
-            elif begun:
-                out.append(("query", text))
-                last = now
+        if state.hasTimedOut:
+            out, begun = [("timeout", "")] if begun else [], 0
+        else:
+            # a micro-batch's rows of one stream: what was said since the last trigger
+            rows = pd.concat(list(batches)).sort_values("at")
+            for text, at in zip(rows["text"], rows["at"]):
+                now, low = int(at.timestamp() * 1000), text.lower().strip()
+                if begun and (now - last > idle_ms or now - begun > most_ms):
+                    out.append(("timeout", ""))
+                    begun = 0
+                if begun and low in stop:
+                    out.append(("stop", text))
+                    begun = 0
+                elif wake in low:
+                    out.append(("wake", low.split(wake, 1)[1].strip(" ,.!?")))
+                    begun, last = begun or now, now
+                elif begun:
+                    out.append(("query", text))
+                    last = now
         state.update((begun, last))
+        if begun:
+            state.setTimeoutTimestamp(max(min(last + idle_ms, begun + most_ms) + 1, state.getCurrentWatermarkMs() + 1))
         if out:
             yield pd.DataFrame({"stream_id": key[0], "kind": [k for k, _ in out], "text": [t for _, t in out]})
 
     kind = utterances.schema["stream_id"].dataType.simpleString()
-    return utterances.groupBy("stream_id").applyInPandasWithState(run, f"stream_id {kind}, kind string, text string", "begun long, last long", "append", GroupStateTimeout.NoTimeout)
+    return utterances.withWatermark("at", late).groupBy("stream_id").applyInPandasWithState(run, f"stream_id {kind}, kind string, text string", "begun long, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def remembered(turns: DataFrame, most: int = 10) -> DataFrame:
@@ -111,14 +120,73 @@ def json_sink(path: str) -> Callable[[DataFrame, int], None]:
     return lambda rows, number: rows.write.mode("append").json(path)
 
 
+def control_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """Overwrites the mute control (one JSON row a session) with the last state of each batch."""
+    return lambda rows, number: control_state(rows).write.mode("overwrite").json(path)
+
+
 def control_state(events: DataFrame) -> DataFrame:
     """(session_id, muted): whether the last control event muted the microphone."""
     last = F.max_by("kind", "ts")
     return events.filter(F.col("kind").isin("mute", "unmute")).groupBy("session_id").agg((last == "mute").alias("muted"))
 
 
+def gated(frames: DataFrame, controls: DataFrame, by: str = "session_id", at: str = "ts") -> DataFrame:
+    """The frames that weren't said into a muted microphone: the last control event of their
+    session before them isn't ``mute``. Both sides are streamed in order, in bounded memory."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frames.schema)
+    both = frames.withColumns({"__control": F.lit(None).cast("string")})
+    own = controls.filter(F.col("kind").isin("mute", "unmute")).select(by, at, F.col("kind").alias("__control"))
+    rows = both.unionByName(own, allowMissingColumns=True).repartition(by).sortWithinPartitions(by, at, F.desc_nulls_last("__control"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        who, muted = None, False
+        for batch in batches:
+            keep = []
+            for u, c in zip(batch[by], batch["__control"]):
+                if u != who:
+                    who, muted = u, False
+                muted = muted if c is None else c == "mute"
+                keep.append(c is None and not muted)
+            yield batch[keep].drop(columns="__control")
+
+    return rows.mapInPandas(run, kinds)
+
+
 def appended_lines(before: str, after: str) -> list[str]:
     """New lines of a file that was read before; from the first difference if it was rewritten."""
     old, new = before.splitlines(), after.splitlines()
     same = next((i for i, (a, b) in enumerate(zip(old, new)) if a != b), min(len(old), len(new)))
     return new[same:]
+
+
+class FileWatch:
+    """Hands a file's new lines on as it grows or is rewritten. What stands in it at the start
+    counts as read; ``poll`` looks once, ``run`` until ``stop`` says so."""
+
+    def __init__(self, path: str, handle: Callable[[str], None]) -> None:
+        self.path, self.handle = Path(path), handle
+        self.seen, self.text = self._mark(), self._read()
+
+    def _mark(self) -> tuple[int, int] | None:
+        return (s.st_mtime_ns, s.st_size) if self.path.exists() and (s := self.path.stat()) else None
+
+    def _read(self) -> str:
+        return self.path.read_text("utf-8") if self.path.exists() else ""
+
+    def poll(self) -> int:
+        """How many lines were handed on; blank ones aren't."""
+        mark = self._mark()
+        if mark is None or mark == self.seen:
+            return 0
+        now = self._read()
+        lines = [x.strip() for x in appended_lines(self.text, now) if x.strip()]
+        self.seen, self.text = mark, now
+        for line in lines:
+            self.handle(line)
+        return len(lines)
+
+    def run(self, stop: Callable[[], bool], every: float = 0.2) -> None:
+        while not stop():
+            self.poll()
+            time.sleep(every)
