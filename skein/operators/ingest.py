@@ -13,6 +13,7 @@ from skein.rules import Profile
 CHUNKS = {"web": (120, 220, 30), "document": (250, 400, 60)}
 # fixed values: penalties of the quality flags
 PENALTIES = (("is_low_text", 0.25), ("is_foreign_language", 0.40), ("is_navigation", 0.35), ("is_low_signal", 0.20), ("is_low_priority_source", 0.18), ("is_boilerplate_heavy", 0.22))
+# fixed values: lines that are headings, and marks of lists
 HEADING = r"^(#{1,6}\s+.+|[А-ЯA-Z][^.!?]{3,80}:)$"
 LIST = r"^\s*([-*•]|\d+\.)\s+"
 
@@ -52,10 +53,11 @@ def officialish(url: Column, source_type: Column, kind: Column, facets: Column,
 
 def assess(docs: DataFrame, profile: Profile, url: str = "canonical_url") -> DataFrame:
     """Adds page_type, source_facets, officialish, quality_flags (sorted) and quality_score."""
-    text, title, kind_of = F.trim(F.col("text")), F.col("title"), F.col("source_type")
-    out = docs.withColumns({"page_type": page_type(F.col(url), title, text, kind_of, profile), "source_facets": source_facets(F.col(url), title, text, profile), "__unit": org_unit(F.col(url), title, text, profile)})
+    # what several rules read is a column, so that it's computed once a row
+    out = docs.withColumns({"__text": F.trim("text"), "__path": U.path(F.col(url))}).withColumn("__low", F.lower("__text"))
+    text, low, path, title, kind_of = F.col("__text"), F.col("__low"), F.col("__path"), F.col("title"), F.col("source_type")
+    out = out.withColumns({"page_type": page_type(F.col(url), title, text, kind_of, profile), "source_facets": source_facets(F.col(url), title, text, profile), "__unit": T.contains_any(F.concat_ws(" ", F.lower(path), F.lower(title), low), profile.org_unit)})
     out = out.withColumn("officialish", officialish(F.col(url), kind_of, F.col("page_type"), F.col("source_facets"), F.col("__unit"), profile))
-    low, path = F.lower(text), U.path(F.col(url))
     sitemap = path.endswith("/sitemap")
     flags = {
         "is_low_text": (F.length(text) < 120) & ~F.col("officialish"),
@@ -65,9 +67,11 @@ def assess(docs: DataFrame, profile: Profile, url: str = "canonical_url") -> Dat
         "is_low_priority_source": T.contains_any(path, profile.low_priority_paths),
         "is_boilerplate_heavy": T.count_markers(low, profile.boilerplate) >= 3,
     }
-    score = F.lit(1.0) - sum((F.when(flags[name], p).otherwise(0.0) for name, p in PENALTIES), F.lit(0.0))
-    marks = F.array_sort(F.array_compact(F.array(*[F.when(f, name) for name, f in flags.items()])))
-    return out.withColumns({"quality_flags": marks, "quality_score": F.round(F.greatest(F.lit(0.0), score), 4)}).drop("__unit")
+    out = out.withColumns({f"__{name}": held for name, held in flags.items()})
+    score = F.lit(1.0) - sum((F.when(F.col(f"__{name}"), p).otherwise(0.0) for name, p in PENALTIES), F.lit(0.0))
+    marks = F.array_sort(F.array_compact(F.array(*[F.when(F.col(f"__{name}"), name) for name in flags])))
+    out = out.withColumns({"quality_flags": marks, "quality_score": F.round(F.greatest(F.lit(0.0), score), 4)})
+    return out.drop("__unit", "__text", "__low", "__path", *[f"__{name}" for name in flags])
 
 
 def corpus_gate(docs: DataFrame, profile: Profile) -> DataFrame:
@@ -92,9 +96,9 @@ def near_duplicates(docs: DataFrame, text: str, order: str) -> DataFrame:
 
     The first row of each signature comes from an aggregation with map-side combine, so a
     signature that a third of all rows share makes no large group."""
-    key = F.xxhash64(T.signature(text), F.sha2(T.signature(text), 256))
-    keyed = docs.withColumn("__key", F.when(T.signature(text) != "", key))
-    first = keyed.filter("__key is not null").groupBy("__key").agg(F.min(order).alias("__first"))
+    key = T.let(T.signature(text), lambda s: F.when(s != "", F.struct(F.xxhash64(s).alias("a"), F.xxhash64(F.lit(1), s).alias("b"))))
+    keyed = docs.withColumn("__key", key)
+    first = docs.select(key.alias("__key"), F.col(order).alias("__o")).groupBy("__key").agg(F.min("__o").alias("__first"))
     return keyed.join(first, "__key", "left").withColumn("is_duplicate", F.coalesce(F.col(order) > F.col("__first"), F.lit(False))).drop("__key", "__first")
 
 
@@ -157,34 +161,51 @@ def line_blocks(text: Column) -> Column:
 def pack(blocks: Column, section: Column, least: int, most: int, overlap: int) -> Column:
     """Chunks of blocks: array<struct<text, section, overlap>>. A chunk is closed when the next
     block would pass ``most`` tokens and starts with the last words of the one before; a rest
-    under ``least`` joins the last chunk; blocks are never split."""
+    under ``least`` joins the last chunk; blocks are never split.
+
+    Where chunks begin follows from the blocks' token counts alone, so those are folded first;
+    texts are put together once a chunk."""
     kind = "array<struct<text:string,section:string,overlap:int>>"
-    start = F.struct(F.lit("").alias("held"), F.lit(0).alias("n"), section.alias("heading"), F.lit("").alias("tail"), F.array().cast(kind).alias("out"))
-    whole = lambda a: F.trim(F.concat_ws(" ", F.when(a["tail"] != "", a["tail"]), a["held"]))
     words = lambda t: F.filter(F.split(t, r"\s+"), lambda w: w != "")
-    chunk = lambda a: F.struct(whole(a).alias("text"), a["heading"].alias("section"), F.least(F.lit(overlap), F.size(words(a["tail"]))).alias("overlap"))
-
-    def step(a: Column, b: Column) -> Column:
-        n = T.estimate_tokens(b["block"])
-        full = (a["held"] != "") & (a["n"] + n > most)
-        last = F.slice(words(whole(a)), F.greatest(F.lit(1), F.size(words(whole(a))) - overlap + 1), F.lit(overlap)) if overlap else T.words_in(())
-        return F.struct(
-            F.when(full | (a["held"] == ""), b["block"]).otherwise(F.concat(a["held"], F.lit(" "), b["block"])).alias("held"),
-            (F.when(full, 0).otherwise(a["n"]) + n).alias("n"),
-            F.when(b["heading"] != "", b["heading"]).otherwise(a["heading"]).alias("heading"),
-            F.when(full, F.array_join(last, " ")).otherwise(a["tail"]).alias("tail"),
-            F.when(full, F.concat(a["out"], F.array(chunk(a)))).otherwise(a["out"]).alias("out"),
-        )
-
-    def end(a: Column) -> Column:
-        n = F.size(a["out"])
-        before = F.slice(a["out"], F.lit(1), F.greatest(F.lit(0), n - 1))
-        last = F.try_element_at(a["out"], F.greatest(F.lit(1), n))
-        merged = F.struct(F.trim(F.concat(last["text"], F.lit(" "), whole(a))).alias("text"), last["section"].alias("section"), last["overlap"].alias("overlap"))
-        own = (T.estimate_tokens(whole(a)) >= least) | (n == 0)
-        return F.when(a["held"] == "", a["out"]).when(own, F.concat(a["out"], F.array(chunk(a)))).otherwise(F.concat(before, F.array(merged)))
-
-    return F.aggregate(blocks, start, step, end)
+
+    def starts(sizes: Column) -> Column:
+        begin = F.struct(F.lit(0).alias("n"), F.lit(0).alias("i"), F.array(F.lit(0)).alias("at"))
+
+        def step(a: Column, n: Column) -> Column:
+            full = (a["i"] > 0) & (a["n"] + n > most)
+            return F.struct(F.when(full, n).otherwise(a["n"] + n).alias("n"), (a["i"] + 1).alias("i"), F.when(full, F.concat(a["at"], F.array(a["i"]))).otherwise(a["at"]).alias("at"))
+
+        return F.aggregate(sizes, begin, step, lambda a: a["at"])
+
+    def chunks(b: Column, at: Column) -> Column:
+        begin = F.struct(section.alias("heading"), F.lit("").alias("tail"), F.array().cast(kind).alias("out"))
+        own = lambda p, j: F.slice(b, p + 1, F.coalesce(F.get(at, j + 1), F.size(b)) - p)
+        parts = F.transform(at, lambda p, j: T.let(own(p, j), lambda x: F.struct(F.array_join(F.transform(x, lambda y: y["block"]), " ").alias("held"), F.element_at(F.concat(F.array(F.lit("")), F.filter(F.transform(x, lambda y: y["heading"]), lambda h: h != "")), -1).alias("heading"))))
+
+        def step(a: Column, c: Column) -> Column:
+            head = F.when(c["heading"] != "", c["heading"]).otherwise(a["heading"])
+            whole = F.trim(F.concat_ws(" ", F.when(a["tail"] != "", a["tail"]), c["held"]))
+
+            def closed(text: Column) -> Column:
+                chunk = F.struct(text.alias("text"), head.alias("section"), F.least(F.lit(overlap), F.size(words(a["tail"]))).alias("overlap"))
+                tail = T.let(words(text), lambda w: F.array_join(F.slice(w, F.greatest(F.lit(1), F.size(w) - overlap + 1), F.lit(overlap)), " ")) if overlap else F.lit("")
+                return F.struct(head.alias("heading"), tail.alias("tail"), F.concat(a["out"], F.array(chunk)).alias("out"))
+
+            return T.let(whole, closed)
+
+        return F.aggregate(parts, begin, step, lambda a: a["out"])
+
+    def joined(out: Column) -> Column:
+        n = F.size(out)
+        last, before = F.element_at(out, -1), F.get(out, n - 2)
+        merged = F.struct(F.trim(F.concat(before["text"], F.lit(" "), last["text"])).alias("text"), before["section"].alias("section"), before["overlap"].alias("overlap"))
+        return F.when((n > 1) & (T.estimate_tokens(last["text"]) < least), F.concat(F.slice(out, F.lit(1), F.greatest(F.lit(0), n - 2)), F.array(merged))).otherwise(out)
+
+    def packed(b: Column) -> Column:
+        sizes = F.transform(b, lambda x: T.estimate_tokens(x["block"]))
+        return F.when(F.size(b) > 0, T.let(T.let(starts(sizes), lambda at: chunks(b, at)), joined)).otherwise(F.array().cast(kind))
+
+    return T.let(blocks, packed)
 
 
 def chunk_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", section: Column | None = None, source_type: str = "web", lines: bool = False) -> DataFrame:
