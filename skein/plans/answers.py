@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions import answer as A
+from skein.functions import policy as G
 from skein.functions import speech as V
 from skein.functions import text as T
 from skein.operators import sessions as S
@@ -18,6 +17,8 @@ from skein.plans import retrieval as B
 from skein.plans import sql as Q
 from skein.plans.base import query, table
 from skein.rules import SYNTHETIC as P
+from skein.sources.shared import shared_dir
+from skein.streaming import voice
 
 LONG = "bigint"
 
@@ -55,17 +56,15 @@ def anchor_support(spark, d):
     return t.select("conv_id", "turn", A.anchor_support(A.anchors(T.tokenize("q", P.stopwords)), F.array_distinct(T.tokenize("a", P.stopwords))).alias("support"))
 
 
-_SUPPORTED = "list_concat(list_filter(f, lambda x: false), list_filter([" + ", ".join(f"case when list_contains(f, '{k}') and len(list_intersect({Q.quoted(v)}, sf)) > 0 then '{k}' end" for k, v in P.facet_support.items()) + "], lambda x: x is not null))"
+_SUPPORTED = "list_filter(f, lambda x: list_contains(sf, x)" + "".join(f" or (x = '{k}' and len(list_intersect({Q.quoted(v)}, sf)) > 0)" for k, v in P.facet_support.items()) + ")"
 
 
-@query(f"select page_id, case when len(f) = 0 then 1 else round(len({_SUPPORTED})::double / len(f), 4) end support from (select page_id, {B._FS} f, {C.FACETS_SQL} sf from {C.PAGES_SQL})")
+@query(f"select page_id, case when len(f) = 0 or len(sf) = 0 then 0 else round(len({_SUPPORTED})::double / len(f), 4) end support from (select page_id, {B._FS} f, {C.FACETS_SQL} sf from {C.PAGES_SQL})")
 def facet_support(spark, d):
     r = C.page_records(spark, d)
     wanted = F.when(F.col("page_id") % 2 == 0, T.words_in(("motion", "cost"))).otherwise(T.words_in(("place",)))
     held = C.I.source_facets(F.col("url"), F.col("title"), F.col("text"), P)
-    given = F.array_compact(F.array(*[F.when(F.arrays_overlap(T.words_in(v), held), k) for k, v in P.facet_support.items()]))
-    hit = F.size(F.array_intersect(wanted, given))
-    return r.select("page_id", F.when(F.size(wanted) == 0, 1.0).otherwise(F.round(hit / F.size(wanted), 4)).alias("support"))
+    return r.select("page_id", G.facet_support(wanted, held, P).alias("support"))
 
 
 _OK = f"len(list_distinct({Q.tok('s')})) <= 3 or len(list_intersect(list_distinct({Q.tok('s')}), g))::double / greatest(1, len(list_distinct({Q.tok('s')}))) >= 0.15::double"
@@ -78,22 +77,30 @@ def verify_grounding(spark, d):
     return t.select("conv_id", "turn", dropped.cast(LONG).alias("dropped"), F.sha2(text, 256).alias("digest"))
 
 
-@query(f"""{B._BATCH}, b as ({B._ITEM}), s as (select r.query_id, r.rank, generate_subscripts(ss, 1) i, unnest(ss) s, b.t from (select query_id, rank, {Q.sentences('text')} ss from ranked join documents using (doc_id) where rank <= 3) r join b using (query_id)),
-c as (select *, round(len(list_intersect(list_distinct(t), list_distinct({Q.tok('s')})))::double / greatest(1, len(list_distinct(t))), 6) score from s where len({Q.tok('s')}) >= 4),
-u as (select *, row_number() over (partition by query_id, lower(s) order by score desc, rank, i) k from c),
-o as (select *, row_number() over (partition by query_id order by score desc, rank, i) n from u where k = 1)
-select query_id, sha256(string_agg(s, ' ' order by n)) digest, round(sum(score), 4) score from o where n <= 2 group by query_id""")
+def _rule_sql(intent: str, name: str) -> str:
+    """A list of the intent's rules."""
+    return f"case {intent} " + " ".join(f"when '{n}' then {Q.quoted(getattr(i, name))}" for n, i in P.intents.items()) + " else []::varchar[] end"
+
+
+_HAS = "len(list_filter({marks}, lambda m: contains(lower({text}), m))) > 0"
+_PIECES = "list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), '\\n+', chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: len(list_filter(regexp_split_to_array(s, '\\s+'), lambda w: w <> '')) >= 4)"
+
+
+@query(f"""{B._BATCH}, q as (select query_id, t, string_split({B._intents_sql('q')}, ',')[1] intent from ({B._ITEM})),
+r as (select query_id, t, list_intersect(list_distinct(t), {_rule_sql('intent', 'fact_tokens')}) hit, {_rule_sql('intent', 'fact_tokens')} facts, {_rule_sql('intent', 'noisy_sentences')} noisy, {_rule_sql('intent', 'allowed_sources')} allowed, {_rule_sql('intent', 'denied_sources')} denied, {_rule_sql('intent', 'trusted_sources')} trusted from q),
+h as (select r.*, rank, text, url, {_PIECES} ss, case when len(hit) > 0 then hit else list_distinct(t) end wanted from r join ranked using (query_id) join {B._META} using (doc_id) where rank <= 3 and (len(allowed) = 0 or {_HAS.format(marks='allowed', text='url')}) and not {_HAS.format(marks='denied', text='url')}),
+s as (select query_id, rank, i, s, wanted, facts, noisy, case when {_HAS.format(marks='trusted', text='url')} then 0.18::double else 0 end bonus, list_distinct({Q.tok('s')}) own from (select *, generate_subscripts(ss, 1) i, unnest(ss) s from h)),
+c as (select *, len(list_intersect(wanted, own))::double / greatest(1, len(wanted)) overlap, case when len(facts) > 0 then len(list_intersect(facts, own))::double / len(facts) else 0 end fact from s where len(own) > 0),
+k as (select *, overlap + 0.6::double * fact + bonus score from c where (overlap > 0 or fact > 0) and not ({_HAS.format(marks='noisy', text='s')}) and not (len(list_filter(regexp_split_to_array(s, '\\s+'), lambda w: w <> '')) > 32 and len(facts) > 0 and fact = 0)),
+u as (select *, row_number() over (partition by query_id, regexp_replace(lower(s), '\\s+', ' ', 'g') order by score desc, rank, i) n from k),
+o as (select *, row_number() over (partition by query_id order by score desc, rank, i) place from u where n = 1)
+select query_id, intent, coalesce((select sha256(string_agg(s, ' ' order by place)) from o where o.query_id = q.query_id and place <= 2), sha256('')) digest from q""")
 def extractive_fallback(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    hits = B.batch_hits(spark, d, 3).join(docs, "doc_id").join(B._items(spark, d).select("query_id", "tokens"), "query_id")
-    rows = hits.select("query_id", "rank", F.array_distinct("tokens").alias("w"), F.posexplode(T.sentences("text")).alias("i", "s"))
-    own = F.array_distinct(T.tokenize("s", P.stopwords))
-    rows = rows.filter(F.size(T.tokenize("s", P.stopwords)) >= 4).withColumn("score", F.round(F.size(F.array_intersect("w", own)) / F.greatest(F.lit(1), F.size("w")), 6))
-    order = [F.desc("score"), "rank", "i"]
-    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("query_id", F.lower("s")).orderBy(*order))).filter("k = 1")
-    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter("n <= 2")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "s"))), lambda x: x["s"]), " ")
-    return rows.groupBy("query_id").agg(F.sha2(text, 256).alias("digest"), F.round(F.sum("score"), 4).alias("score"))
+    hits = B.batch_hits(spark, d, 3).join(B.doc_meta(spark, d).select("doc_id", "source"), "doc_id").join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    packed = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "source", "text"))).alias("hits"))  # three a query
+    rows = B._items(spark, d).withColumn("intent", F.get("intents", F.lit(0))).join(packed, "query_id", "left")
+    pairs = F.transform("hits", lambda h: F.struct(h["source"].alias("source"), h["text"].alias("text")))
+    return rows.select("query_id", "intent", F.sha2(G.extract(pairs, F.col("tokens"), F.col("intent"), P), 256).alias("digest"))
 
 
 _SENT = f"(select doc_id, {Q.sentences('text')} p from documents)"
@@ -129,7 +136,7 @@ def limit_words(spark, d):
     return table(spark, d, "documents").select("doc_id", cut.alias("cut"), F.sha2(text, 256).alias("digest"))
 
 
-_HEAD = "regexp_replace(substr(text, 1, 100), '^\\s+|\\s+$', '', 'g')"
+_HEAD = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
 _STOP = "(length(t) - length(regexp_extract(t, '(?s)^.*[.!?](.*)$', 1)))"
 
 
@@ -249,22 +256,19 @@ def event_props_json(spark, d):
     return table(spark, d, "events").groupBy("event_type", k.alias("k")).agg(F.count("*").alias("n"))
 
 
-@query("select user_id, event_type, round(sum(value), 2) total, count(*)::bigint n from events where event_type <> 'view' group by all having count(*) > 1")
+@query("select user_id, event_type, round(sum(value), 2) total, count(*)::bigint n from events group by all having count(*) > 1")
 def event_rollup(spark, d):
-    e = table(spark, d, "events").filter("event_type <> 'view'")
+    e = table(spark, d, "events")
     return e.groupBy("user_id", "event_type").agg(F.round(F.sum("value"), 2).alias("total"), F.count("*").alias("n")).filter("n > 1")
 
 
 # --- utterances ----------------------------------------------------------------------------------------
 
-_FIRST = "array_to_string(list_slice(regexp_split_to_array(trim(text), '\\s+'), 1, 3), ' ')"
-
-
 def _stop_sql() -> str:
     bare = lambda x: f"trim(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g'))"
     match = lambda w: f"len(list_filter(ws, lambda x: x = '{w}' or {bare('x')} = '{w}' or (length({bare('x')}) > 2 and {len(w)} > 2 and (contains({bare('x')}, '{w}') or contains('{w}', {bare('x')}))))) > 0"
     cases = " ".join("when " + " and ".join(match(w) for w in p.split()) + f" and len(ws) <= 4 and len(ws) > 0 then '{p}'" for p in P.stop_phrases)
-    return f"select conv_id, turn, case {cases} end phrase from (select conv_id, turn, list_filter(regexp_split_to_array(lower(u), '\\s+'), lambda w: w <> '') ws from (select conv_id, turn, {_FIRST} u from conversations))"
+    return f"select conv_id, turn, case {cases} end phrase from (select conv_id, turn, list_filter(regexp_split_to_array(lower(u), '\\s+'), lambda w: w <> '') ws from (select conv_id, turn, trim(text) u from conversations))"
 
 
 @query(_stop_sql())
@@ -286,7 +290,7 @@ def wake_words(spark, d):
     return _turns(spark, d).select("conv_id", "turn", found.alias("found"), F.length(rest).cast(LONG).alias("n_rest"))
 
 
-@query(None)
+@query(f"select n::int n, n_items, {Q.cardinal('n')} words from (select l_quantity::int n, count(*)::bigint n_items from lineitem group by all)")
 def number_words(spark, d):
     items = table(spark, d, "lineitem").groupBy(F.col("l_quantity").cast("int").alias("n")).agg(F.count("*").alias("n_items"))
     return items.join(F.broadcast(V.number_table(spark, 100)), "n")  # 101 rows
@@ -308,14 +312,16 @@ def vad_segments(spark, d):
 
 @query("select user_id, min(ts) started, count(*)::bigint n_events from (select *, sum(new::int) over (partition by user_id order by ts, event_id) s from (select *, coalesce(ts - lag(ts) over (partition by user_id order by ts, event_id) > interval 6 hours, true) new from events)) group by user_id, s")
 def stream_sessions(spark, d):
-    """Sessions of the events as a stream of files, in complete mode; equal to the batch's."""
-    name = f"sessions_{uuid.uuid4().hex[:8]}"
-    schema = table(spark, d, "events").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("at", F.col("ts").cast("timestamp"))
-    counts = rows.groupBy("user_id", F.session_window("at", "6 hours").alias("w")).agg(F.count("*").alias("n_events"), F.min("ts").alias("started"))
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skein-")
-    q = counts.select("user_id", "started", "n_events").writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", os.path.join(folder, name)).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
-
-
+    """Sessions of the events as a stream of files: closed ones are appended to a file sink as
+    the watermark passes them, so neither the state nor the driver keeps them."""
+    folder, events = f"{shared_dir(spark)}/sessions-{uuid.uuid4().hex}", table(spark, d, "events")
+    schema = events.schema
+    # a mark of no user ends the stream: the watermark passes the last sessions
+    ends = events.agg((F.max("ts") + F.expr("interval 2 days")).alias("ts"))
+    ends.select(*[F.col("ts").cast(f.dataType).alias("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in schema]).write.parquet(f"{folder}/end")
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).unionByName(spark.readStream.schema(schema).parquet(f"{folder}/end"))
+    counts = voice.session_counts(rows.withColumn("at", F.col("ts").cast("timestamp")), "6 hours", "0 seconds", "user_id")
+    counts = counts.select("user_id", F.col("started").cast(schema["ts"].dataType).alias("started"), "n_events")
+    sink = counts.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+    sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out")

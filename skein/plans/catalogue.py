@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.plans import answers, base, ingest, retrieval  # noqa: F401
+from skein.plans import answers, base, ingest, policy, retrieval  # noqa: F401
 
 
 def queries():

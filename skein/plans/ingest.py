@@ -9,7 +9,7 @@ from skein.functions import text as T
 from skein.functions import urls as U
 from skein.operators import ingest as I
 from skein.plans import sql as Q
-from skein.plans.base import query, table
+from skein.plans.base import cut, query, table
 from skein.rules import SYNTHETIC as P
 
 LONG = "bigint"
@@ -125,8 +125,7 @@ def archive_year_rule(spark, d):
 @query(f"select doc_id, lang, case when len(regexp_extract_all(text, '[{P.own_letters}]')) >= 8 * len(regexp_extract_all(text, '[{P.other_letters}]')) then 'ascii' else 'other' end detected from documents")
 def detect_language(spark, d):
     # accented letters weigh eightfold here, so that the rule fires on these texts
-    ascii_, accented = (F.regexp_count("text", F.lit(f"[{x}]")) for x in (P.own_letters, P.other_letters))
-    return _docs(spark, d).select("doc_id", "lang", F.when(ascii_ >= 8 * accented, "ascii").otherwise("other").alias("detected"))
+    return _docs(spark, d).select("doc_id", "lang", T.detect_language("text", P.own_letters, P.other_letters, P.own_language, 8).alias("detected"))
 
 
 # --- classification and quality: pages as records -------------------------------------------------
@@ -210,16 +209,7 @@ def near_duplicates(spark, d):
 @query(None)
 def two_key_dedupe(spark, d):
     docs = _docs(spark, d).select("doc_id", (F.col("doc_id") % 400).alias("url_key"), F.sha2(T.signature("text"), 256).alias("sig"))
-    return I.two_key_dedupe(docs, "doc_id", "url_key", "sig", cut_for(spark))
-
-
-def cut_for(spark):
-    """Cuts lineage in the folder of spark.checkpoint.dir; where it is unset, in a temporary one."""
-    import tempfile
-
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="skein-"))
-    return lambda df: df.checkpoint()
+    return I.two_key_dedupe(docs, "doc_id", "url_key", "sig", cut)
 
 
 @query(f"with f as ({_flags_sql()}), s as (select doc_id, doc_id > min(doc_id) over (partition by sig) and sig <> '' dup from (select doc_id, {_SIG} sig from documents)) select f.doc_id from f join s using (doc_id) where not dup and not contains(flags, 'is_low_signal') and not contains(flags, 'is_low_text') and not contains(flags, 'is_navigation')")
@@ -278,11 +268,16 @@ def corpus_checksum(spark, d):
     return checksum(_docs(spark, d).select("doc_id", T.content_hash("text").alias("digest")), "doc_id", "digest")
 
 
-@query(None)
+@query(f"""with recursive l as (select distinct {Q.canonical('url')} src, regexp_replace({_ROOT} || l, '[?#].*$', '') dst from (select url, unnest(regexp_extract_all(html, '<a[^>]+href="([^"]*)"', 1)) l from pages)
+ where starts_with(l, '/') and not list_contains({Q.quoted(P.denied_extensions)}, lower(regexp_extract(regexp_replace(l, '[?#].*$', ''), '\\.([A-Za-z0-9]+)$', 1)))),
+s as (select distinct {Q.canonical('url')} url from pages where page_id % 10 = 0),
+r as (select url, 0 depth from s union select l.dst, depth + 1 from r join l on src = url where depth < 40)
+select url, min(depth) depth from r group by url""")
 def link_frontier_depth(spark, d):
+    # from every tenth page on, till nothing new is found
     pages = _pages(spark, d).withColumn("src", U.canonicalize_url("url"))
     links = pages.select("src", F.explode(U.page_links("html", F.col("url"), P)).alias("dst"))
-    return I.frontier(links, pages.select(F.col("src").alias("url")), 4, cut_for(spark))
+    return I.frontier(links, pages.filter("page_id % 10 = 0").select(F.col("src").alias("url")), 40, cut)
 
 
 @query(None)

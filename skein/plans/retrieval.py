@@ -11,14 +11,14 @@ from skein.operators import ingest as I
 from skein.operators import retrieval as R
 from skein.plans import ingest as C
 from skein.plans import sql as Q
-from skein.plans.base import query, table
+from skein.plans.base import cut, query, table
 from skein.rules import SYNTHETIC as P
 
 LONG = "bigint"
 ONE = "the thion onthwh reti"
 _DOCS = f"select doc_id, {Q.tok('text')} t from documents"
 _ONE = f"select 0 query_id, term, count(*) mult, 3 nq from (select unnest({Q.tok(chr(39) + ONE + chr(39))}) term) group by term"
-_ITEM = f"select item_id query_id, list_slice({Q.tok('text')}, 1, 8) t from benchmark"
+_ITEM = f"select item_id query_id, text q, {Q.expanded(Q.tok('text'))} t from benchmark"
 _ITEMS = f"select query_id, term, count(*) mult, any_value(nq) nq from (select query_id, len(list_distinct(t)) nq, unnest(t) term from ({_ITEM})) group by query_id, term"
 
 
@@ -36,9 +36,8 @@ def _one(spark) -> DataFrame:
 
 
 def _items(spark, d) -> DataFrame:
-    """Benchmark items as queries of all their tokens."""
-    t = T.tokenize("text", P.stopwords)
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text", t.alias("tokens"), F.array_join(t, " ").alias("query"))
+    """Benchmark items as whole queries, analysed: query_id, query, tokens, intents, facets."""
+    return R.analysed(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), P)
 
 
 def batch_hits(spark, d, k: int) -> DataFrame:
@@ -104,7 +103,7 @@ def cosine_verify(spark, d):
 
 # --- policy ---------------------------------------------------------------------------------------------
 
-_PAGE_Q = f"(select item_id, text q, {Q.expanded(Q.tok('text'))} t from benchmark where item_id in (select item_id from benchmark order by item_id limit 5))"
+_PAGE_Q = f"(select item_id, text q, {Q.expanded(Q.tok('text'))} t from benchmark)"
 _SECTION = f"coalesce(list_filter(string_split(regexp_extract(url, '{Q.PART}', 3), '/'), lambda s: s <> '')[1], 'home')"
 
 
@@ -119,7 +118,7 @@ def _structural_sql(tokens: str, q: str) -> str:
     return f"0.45::double * ({overlap}) + {by_number}"
 
 
-@query(f"select item_id, page_id, round({_structural_sql('t', 'q')}, 6) bonus from {_PAGE_Q}, {C.PAGES_SQL}")
+@query(f"select * from (select item_id, page_id, round({_structural_sql('t', 'q')}, 6) bonus from {_PAGE_Q}, {C.PAGES_SQL}) where bonus <> 0")
 def structural_bonus(spark, d):
     """The bonuses other than 0 of every item and page."""
     b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("q"), T.expand(T.tokenize("text", P.stopwords), P.expansions).alias("t"))
@@ -167,6 +166,27 @@ def source_policy(spark, d):
     return R.policy(r, P).select("page_id", "freshness_penalty", "source_penalty", "source_bonus", "facet_bonus", "policy_score")
 
 
+def _intents_sql(col: str) -> str:
+    low = f"lower({col})"
+    rows = ", ".join(f"case when {Q.count(low, i.query_hints)} > 0 then {{'n': -({Q.count(low, i.query_hints)}), 'p': -{i.priority}, 'name': '{n}'}} end" for n, i in P.intents.items())
+    names = f"list_transform(list_sort(list_filter([{rows}], lambda x: x is not null)), lambda x: x.name)"
+    return f"case when len({names}) > 0 then array_to_string({names}, ',') else 'general' end"
+
+
+def _facets_query_sql(source: str = "(select conv_id, turn, text from conversations where role = 'user')", keys: str = "conv_id, turn") -> str:
+    starts = lambda stems: "len(list_filter(e, lambda t: " + " or ".join(f"starts_with(t, '{s}')" for s in stems) + ")) > 0"
+    held = "list_filter([" + ", ".join(f"case when {starts(s)} or {Q.has('lower(text)', s)} then '{f}' end" for f, s in P.facet_stems.items()) + "], lambda x: x is not null)"
+    step = f"select {keys}, e, {held} h0 from (select {keys}, text, {Q.expanded(Q.tok('text'))} e from {source})"
+    n = 0
+    for f, i in P.facet_implies:
+        step = f"select *, case when list_contains(h{n}, '{f}') then list_distinct(list_append(h{n}, '{i}')) else h{n} end h{n + 1} from ({step})"
+        n += 1
+    for stays, goes, stems in P.facet_excludes:
+        step = f"select *, case when list_contains(h{n}, '{stays}') and list_contains(h{n}, '{goes}') and {starts(stems)} then list_filter(h{n}, lambda x: x <> '{goes}') else h{n} end h{n + 1} from ({step})"
+        n += 1
+    return f"select {keys}, array_to_string(list_sort(list_distinct(h{n})), ',') facets from ({step})"
+
+
 # --- fusion ------------------------------------------------------------------------------------------------
 
 _LEX = "(select query_id, doc_id, score from ranked where rank <= 30)"
@@ -191,26 +211,62 @@ def stage_normalize(spark, d):
     return R.normalize_stages(stages(spark, d)).select("query_id", "doc_id", "stage", "score")
 
 
-#: Documents' policy here: a bonus by language and a penalty by length.
-_POLICY = "case lang when 'en' then 0.05::double when 'fr' then 0.02::double else 0 end - case when n_chars < 500 then 0.1::double else 0 end"
-_FUSED = f"{_NORM}, a as (select n.*, source, text, round(score + {_POLICY}, 6) adjusted from n join documents using (doc_id)), f as (select *, row_number() over (partition by query_id order by adjusted desc, so, doc_id) rank from (select *, row_number() over (partition by query_id, doc_id order by adjusted desc, so) k from a) where k = 1)"
+#: Documents as hits: an address made of their language and source, and what follows from it.
+_URL = "'https://' || case when lang = 'en' then 'www' else 'blog' end || '.example.net/' || lang || '/' || source"
+_META = f"(select doc_id, text, source url, 'the ' || lang title, doc_id % 7 = 0 archived, case when n_chars < 500 then 0.5::double else 0.9::double end quality, n_chars < 200 low from (select doc_id, text, lang, n_chars, {_URL} source from documents))"
+
+
+def doc_meta(spark, d) -> DataFrame:
+    """The columns that the policy reads of a hit."""
+    url = F.concat(F.lit("https://"), F.when(F.col("lang") == "en", "www").otherwise("blog"), F.lit(".example.net/"), F.col("lang"), F.lit("/"), F.col("source"))
+    r = _docs(spark, d).select("doc_id", "text", "n_chars", url.alias("source"), F.concat(F.lit("the "), F.col("lang")).alias("title"))
+    c = [F.col(x) for x in ("source", "title", "text")]
+    r = r.withColumns({
+        "section": U.section("source"), "page_type": I.page_type(*c, F.lit("web"), P), "source_facets": I.source_facets(*c, P), "is_archived": F.col("doc_id") % 7 == 0,
+        "quality_score": F.when(F.col("n_chars") < 500, 0.5).otherwise(0.9), "quality_flags": F.when(F.col("n_chars") < 200, F.array(F.lit("is_low_signal"))).otherwise(T.words_in(())),
+    })
+    return r.drop("text", "n_chars")
+
+
+def _policy_sql() -> str:
+    """The policy of a hit: columns ints, fs, t, q of its query; url, title, text, pt, sf, quality,
+    archived, low of the hit."""
+    per = lambda value: " + ".join(f"case when list_contains(ints, '{n}') then {value(n, i)} else 0::double end" for n, i in P.intents.items())
+    stale = "greatest(0.08::double, " + ", ".join(f"case when list_contains(ints, '{n}') then {i.stale_penalty}::double else 0::double end" for n, i in P.intents.items()) + ")"
+    away = per(lambda n, i: f"case when not {Q.has('lower(url)', i.preferred_sources)} then 0.18::double else 0 end")
+    prefers = per(lambda n, i: f"case when {Q.has('lower(url)', i.preferred_sources)} then {i.source_bonus}::double else 0 end")
+    parts = [
+        f"- round(case when archived then {stale} else 0 end, 6)",
+        f"- round(case when low then 0.45::double else 0 end + {away} + greatest(0, 0.65::double - quality) * 0.4::double, 6)",
+        f"+ round(case when contains(lower(url), '{P.domain}') then 0.08::double else 0 end + {prefers}, 6)",
+        f"+ round({_facet_sql()}, 6)",
+        f"+ round({_structural_sql('t', 'q')}, 6)",
+    ]
+    return f"round({' '.join(parts)}, 6)"
+
+
+def _asked_sql() -> str:
+    return f"(select query_id, q, t, string_split({_intents_sql('q')}, ',') ints, case when facets = '' then []::varchar[] else string_split(facets, ',') end fs from ({_ITEM}) join ({_facets_query_sql('(select item_id k, text from benchmark)', 'k')}) on query_id = k)"
+
 
+def stage_fusion(spark, d) -> DataFrame:
+    """The benchmark's queries through both stages, the policy and fusion, as the engine does."""
+    return R.combined(stages(spark, d), doc_meta(spark, d), _items(spark, d), P).withColumnRenamed("score", "adjusted")
 
-def fused(spark, d) -> DataFrame:
-    lang, short = F.col("lang"), F.col("n_chars") < 500
-    own = F.when(lang == "en", 0.05).when(lang == "fr", 0.02).otherwise(0.0) - F.when(short, 0.1).otherwise(0.0)
-    docs = _docs(spark, d).select("doc_id", "source", own.alias("policy_score"))
-    # stages are normalised before documents that only one side has drop out
-    hits = R.normalize_stages(stages(spark, d)).join(docs, "doc_id")
-    hits = hits.withColumn("adjusted", F.round(F.col("score") + F.col("policy_score"), 6))
-    best = Window.partitionBy("query_id", "doc_id").orderBy(F.desc("adjusted"), "stage_order")
-    hits = hits.withColumn("__n", F.row_number().over(best)).filter("__n = 1").drop("__n")
-    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("adjusted"), "stage_order", "doc_id")))
+
+def searched(spark, d, k: int = 5) -> DataFrame:
+    """Fused, diversified, cut to k, with texts."""
+    return R.best(stage_fusion(spark, d), k).join(_docs(spark, d).select("doc_id", "text"), "doc_id")
+
+
+_FUSED = f"""{_NORM}, asked as {_asked_sql()}, meta as (select *, {C.TYPE_SQL} pt, {C.FACETS_SQL} sf from {_META}),
+a as (select query_id, doc_id, stage, so, url source, text, ints, t, round(score + {_policy_sql()}, 6) adjusted from n join meta using (doc_id) join asked using (query_id)),
+f as (select *, row_number() over (partition by query_id order by adjusted desc, so, doc_id) rank from (select *, row_number() over (partition by query_id, doc_id order by adjusted desc, so) k from a) where k = 1)"""
 
 
 @query(f"{_BATCH}, {_FUSED} select query_id, doc_id, stage, adjusted, rank::bigint rank from f")
 def hybrid_fuse(spark, d):
-    return fused(spark, d).select("query_id", "doc_id", "stage", "adjusted", F.col("rank").cast(LONG).alias("rank"))
+    return stage_fusion(spark, d).select("query_id", "doc_id", "stage", "adjusted", F.col("rank").cast(LONG).alias("rank"))
 
 
 _DIVERSE = "v as (select *, row_number() over (partition by query_id order by (k2 > 2), rank) place from (select *, row_number() over (partition by query_id, source order by rank) k2 from f))"
@@ -218,15 +274,14 @@ _DIVERSE = "v as (select *, row_number() over (partition by query_id order by (k
 
 @query(f"{_BATCH}, {_FUSED}, {_DIVERSE} select query_id, doc_id, source, place::bigint place from v where place <= 10")
 def diversify_sources(spark, d):
-    return R.diversify(fused(spark, d), 10).select("query_id", "doc_id", "source", F.col("place").cast(LONG).alias("place"))
+    return R.diversify(stage_fusion(spark, d), 10).select("query_id", "doc_id", "source", F.col("place").cast(LONG).alias("place"))
 
 
-@query(f"""{_BATCH}, {_FUSED}, w as (select f.query_id, doc_id, round(len(list_intersect(list_distinct(b.t), list_distinct({Q.tok('f.text')})))::double / greatest(1, len(list_distinct(b.t))) + tanh(adjusted), 6) s from f join ({_ITEM}) b using (query_id))
+@query(f"""{_BATCH}, {_FUSED}, w as (select query_id, doc_id, round(len(list_intersect(list_distinct(t), list_distinct({Q.tok('text')})))::double / greatest(1, len(list_distinct(t))) + tanh(adjusted), 6) s from f)
 select query_id, doc_id, s rerank_score, r::bigint rank from (select *, row_number() over (partition by query_id order by s desc, doc_id) r from w) where r <= 10""")
 def lexical_rerank(spark, d):
     # texts join after the cut to candidates
-    hits = fused(spark, d).withColumnRenamed("score", "stage_score").withColumnRenamed("adjusted", "score")
-    hits = hits.join(_docs(spark, d).select("doc_id", "text"), "doc_id").join(_items(spark, d).select("query_id", "tokens"), "query_id")
+    hits = stage_fusion(spark, d).withColumnRenamed("adjusted", "score").join(_docs(spark, d).select("doc_id", "text"), "doc_id")
     return R.rerank(hits, F.col("tokens"), F.col("text"), 10, P).select("query_id", "doc_id", "rerank_score", F.col("rank").cast(LONG).alias("rank"))
 
 
@@ -234,25 +289,20 @@ _WORDS = "greatest(1, len(list_filter(regexp_split_to_array(trim(text), '\\s+'),
 _CHOSEN = f"c as (select * from (select *, sum({_WORDS}) over (partition by query_id order by place) used, {_WORDS} words from v where place <= 5) where used <= 900 or used = words)"
 
 
-def searched(spark, d, k: int = 5) -> DataFrame:
-    """Fused, diversified, cut to k, with texts."""
-    best = R.diversify(fused(spark, d), k)
-    return best.join(_docs(spark, d).select("doc_id", "text"), "doc_id")
-
-
 @query(f"{_BATCH}, {_FUSED}, {_DIVERSE}, {_CHOSEN} select query_id, doc_id, words::bigint words, used::bigint used from c")
 def evidence_budget(spark, d):
     return R.evidence(searched(spark, d), rank="place").select("query_id", "doc_id", F.col("words").cast(LONG).alias("words"), F.col("used").cast(LONG).alias("used"))
 
 
-@query(f"{_BATCH}, {_FUSED}, {_DIVERSE}, {_CHOSEN}, g as (select query_id, round(avg(greatest(adjusted, 0)), 4) grounding_score from c group by query_id) select query_id, place::bigint place, doc_id, stage, source, adjusted score, sha256(text) digest, grounding_score from c join g using (query_id)")
+@query(f"{_BATCH}, {_FUSED}, {_DIVERSE}, {_CHOSEN}, g as (select query_id, round(round(avg(greatest(adjusted, 0)), 9)::decimal(18, 9), 4)::double grounding_score from c group by query_id) select query_id, place::bigint place, doc_id, stage, source, adjusted score, sha256(text) digest, grounding_score from c join g using (query_id)")
 def hybrid_search(spark, d):
-    chosen = R.evidence(searched(spark, d), rank="place")
+    # written once: the hits go into the result and into their query's grounding
+    chosen = cut(R.evidence(searched(spark, d), rank="place"))
     g = R.grounding(chosen, "adjusted").select("query_id", "grounding_score")
     return chosen.join(g, "query_id").select("query_id", F.col("place").cast(LONG).alias("place"), "doc_id", "stage", "source", F.col("adjusted").alias("score"), F.sha2("text", 256).alias("digest"), "grounding_score")
 
 
-@query(f"""{_BATCH}, gold as (select item_id query_id, doc_id from benchmark b join documents d on contains(d.text, substr(b.text, 1, 60))),
+@query(f"""{_BATCH}, gold as (select item_id query_id, doc_id from benchmark b join documents d on contains(d.text, b.text)),
 f as (select b.item_id query_id, min(rank) r from benchmark b left join (select query_id, rank from ranked join gold using (query_id, doc_id) where rank <= 5) on query_id = item_id group by b.item_id)
 select count(*)::bigint n_queries, round(avg(coalesce((r <= 5)::int, 0)), 4) success_at_k, round(avg(coalesce((r <= 1)::int, 0)), 4) top1, round(avg(coalesce((r <= 3)::int, 0)), 4) top3, round(avg(coalesce(round(1::double / r, 4), 0)), 4) mrr from f""")
 def retrieval_eval(spark, d):
@@ -281,32 +331,11 @@ def gold(spark, d) -> DataFrame:
 # --- queries -------------------------------------------------------------------------------------------------
 
 
-def _intents_sql(col: str) -> str:
-    low = f"lower({col})"
-    rows = ", ".join(f"case when {Q.count(low, i.query_hints)} > 0 then {{'n': -({Q.count(low, i.query_hints)}), 'p': -{i.priority}, 'name': '{n}'}} end" for n, i in P.intents.items())
-    names = f"list_transform(list_sort(list_filter([{rows}], lambda x: x is not null)), lambda x: x.name)"
-    return f"case when len({names}) > 0 then array_to_string({names}, ',') else 'general' end"
-
-
 @query(f"select conv_id, turn, {_intents_sql('text')} intents from conversations where role = 'user'")
 def intent_detect(spark, d):
     return table(spark, d, "conversations").filter("role = 'user'").select("conv_id", "turn", F.array_join(R.intents(F.col("text"), P), ",").alias("intents"))
 
 
-def _facets_query_sql() -> str:
-    starts = lambda stems: "len(list_filter(e, lambda t: " + " or ".join(f"starts_with(t, '{s}')" for s in stems) + ")) > 0"
-    held = "list_filter([" + ", ".join(f"case when {starts(s)} or {Q.has('lower(text)', s)} then '{f}' end" for f, s in P.facet_stems.items()) + "], lambda x: x is not null)"
-    step = f"select conv_id, turn, e, {held} h0 from (select conv_id, turn, text, {Q.expanded(Q.tok('text'))} e from conversations where role = 'user')"
-    n = 0
-    for f, i in P.facet_implies:
-        step = f"select *, case when list_contains(h{n}, '{f}') then list_distinct(list_append(h{n}, '{i}')) else h{n} end h{n + 1} from ({step})"
-        n += 1
-    for stays, goes, stems in P.facet_excludes:
-        step = f"select *, case when list_contains(h{n}, '{stays}') and list_contains(h{n}, '{goes}') and {starts(stems)} then list_filter(h{n}, lambda x: x <> '{goes}') else h{n} end h{n + 1} from ({step})"
-        n += 1
-    return f"select conv_id, turn, array_to_string(list_sort(list_distinct(h{n})), ',') facets from ({step})"
-
-
 @query(_facets_query_sql())
 def facet_detect(spark, d):
     return table(spark, d, "conversations").filter("role = 'user'").select("conv_id", "turn", F.array_join(R.facets(F.col("text"), P), ",").alias("facets"))

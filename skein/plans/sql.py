@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from skein.functions import speech as V
 from skein.rules import SYNTHETIC as P
 
 
@@ -78,3 +79,11 @@ tf as (select doc_id, term, count(*) tf, any_value(dl) dl from (select doc_id, l
 df as (select term, count(*) df from tf group by term),
 hits as (select query_id, doc_id, sum(mult * ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * (tf * 2.5::double / (tf + 1.5::double * (0.25::double + 0.75::double * greatest(dl, 1) / avgdl)))) base, count(*)::double / any_value(nq) bonus
  from tf join df using (term) join qt using (term) cross join st group by query_id, doc_id having base > 0)"""
+
+
+def cardinal(n: str) -> str:
+    """The Russian cardinal of an integer of 0 to 9999."""
+    units = quoted(V.UNITS)
+    low = f"case when {n} % 100 < 20 then {units}[{n} % 100 + 1] else {quoted(V.TENS)}[({n} % 100) // 10 - 1] || case when {n} % 10 > 0 then ' ' || {units}[{n} % 10 + 1] else '' end end"
+    thousand = quoted([V.THOUSANDS.get(i) or f"{V.UNITS[i]} тысяч" for i in range(1, 10)])
+    return f"concat_ws(' ', case when {n} >= 1000 then {thousand}[{n} // 1000] end, case when {n} // 100 % 10 > 0 then {quoted(V.HUNDREDS)}[{n} // 100 % 10] end, case when {n} % 100 > 0 or {n} = 0 then {low} end)"
