@@ -17,6 +17,7 @@ from skein.operators import retrieval as R
 from skein.operators import sessions as M
 from skein.rules import Profile
 from skein.sources import records as S
+from skein.sources.shared import cut as written
 
 
 def file_titles(text: str, url: str) -> Column:
@@ -134,7 +135,8 @@ class Engine:
         without a reply, without evidence, or where the hits don't bear the answer out."""
         p = self.profile
         asked = self.analysed(queries.select("query_id", "query")).withColumn("intent", F.get("intents", F.lit(0)))
-        hits = self.augmented(queries, self.search(queries, k), k).drop("intent").join(asked.select("query_id", "intent"), "query_id")
+        hits = written(self.search(queries, k))
+        hits = written(self.augmented(queries, hits, k)).drop("intent").join(asked.select("query_id", "intent"), "query_id")
         hits = M.filter_by_intent(hits, p)
         kind = "array<struct<place:int,text:string,source:string,title:string,section:string,path:array<string>,facets:array<string>,score:double>>"
         one = F.struct(F.col("place").cast("int").alias("place"), "text", "source", "title", "section", F.col("section_path").alias("path"), F.col("source_facets").alias("facets"), F.col("score").cast("double").alias("score"))
@@ -152,11 +154,14 @@ class Engine:
         own = F.array_distinct(T.tokenize(F.array_join(shape, " "), p.stopwords))
         rows = rows.withColumn("anchored", A.anchor_support(A.anchors(T.tokenize("query", p.stopwords), p.low_signal_stems), own))
         rows = rows.withColumn("faceted", G.facet_support(F.col("facets"), F.array_distinct(F.flatten(F.transform(top, lambda h: h["facets"]))), p))
-        rows = rows.withColumn("trusted", G.trusted(F.col("sources"), F.col("intent"), p))
+        rows = written(rows.withColumn("trusted", G.trusted(F.col("sources"), F.col("intent"), p)))
 
-        def cleaned(text: Column) -> Column:
-            t = A.dedupe_sentences(A.strip_link_soup(A.strip_links(A.sanitize_markdown(text))))
-            return A.strip_leading(t, p.leading) if p.leading else t
+        def cleaned(df: DataFrame, column: str) -> DataFrame:
+            # a column a step: a step uses its text several times
+            steps = [A.sanitize_markdown, A.strip_links, A.strip_link_soup, A.dedupe_sentences]
+            for step in [*steps, lambda c: A.strip_leading(c, p.leading)] if p.leading else steps:
+                df = df.withColumn(column, step(F.col(column)))
+            return df
 
         def bounded(column: str, most) -> dict[str, Column]:
             text, cut = most(F.col(column))
@@ -165,7 +170,7 @@ class Engine:
         reply = generate(F.col("query"), M.prompt(F.col("query"), history, F.col("context"))) if generate else F.lit("")
         display, speaker = A.tagged(F.coalesce(reply, F.lit("")))
         rows = rows.withColumn("silent", F.trim(F.coalesce(reply, F.lit(""))) == "")
-        rows = rows.withColumns({"display": cleaned(display), "speaker": speaker, "cut": F.lit(False)})
+        rows = cleaned(rows.withColumns({"display": display, "speaker": speaker, "cut": F.lit(False)}), "display")
         policed = lambda c: A.drop_sentences(c, p.banned_sentences) if p.banned_sentences else (c, F.lit(False))
         named = lambda c: A.enforce_identity(c, p.wrong_identity, p.identity) if p.wrong_identity else (c, F.lit(False))
         rows = rows.withColumns(bounded("display", policed))
@@ -177,14 +182,17 @@ class Engine:
         # too little said, but there is evidence: the best sentences of the hits
         poor = A.low_information("display", T.tokenize("display", p.stopwords)) & (F.size("hits") > 0) & ((F.col("coverage") >= 0.1) | F.col("trusted"))
         pairs = F.transform("hits", lambda h: F.struct(h["source"].alias("source"), h["text"].alias("text")))
-        found = F.when(poor, cleaned(G.extract(pairs, F.col("tokens"), F.col("intent"), p))).otherwise(F.lit(""))
-        rows = rows.withColumn("extract", found).withColumn("extracted", F.col("extract") != "")
+        # the plan so far is done with; the rest goes on from its rows
+        rows = written(rows.withColumn("poor", poor))
+        found = F.when(F.col("poor"), G.extract(pairs, F.col("tokens"), F.col("intent"), p)).otherwise(F.lit(""))
+        rows = cleaned(rows.withColumn("extract", found), "extract").withColumn("extracted", F.col("extract") != "")
         rows = rows.withColumn("display", F.when(F.col("extracted"), F.col("extract")).otherwise(F.col("display")))
         for step in finishing:
             rows = rows.withColumns(bounded("display", step))
         rows = rows.withColumn("display", G.display_policy(F.col("display"), F.col("sources"), F.col("coverage"), F.col("intent"), p))
         for step in finishing[1:]:
             rows = rows.withColumns(bounded("display", step))
+        rows = written(rows)
         rows = rows.withColumn("speaker", F.when(F.col("speaker") != "", F.col("speaker")).otherwise(G.speaker_sentences(F.col("display"), F.col("query"), p)))
         rows = rows.withColumn("speaker", A.dedupe_sentences(A.strip_markdown(A.strip_links("speaker"))))
         for step in (policed, named, lambda c: (A.strip_leading(c, p.leading) if p.leading else c, F.lit(False)), lambda c: (A.first_sentences(c), F.lit(False)), lambda c: (G.speaker_policy(c, F.col("display"), F.col("sources"), F.col("intent"), p), F.lit(False)), lambda c: A.limit_chars(c, chars), A.finish):

@@ -25,7 +25,7 @@ def words(text: Column) -> Column:
 def _bare_links(t: Column) -> Column:
     """Markdown links as their text, nested ones from the inside out; then images."""
     inner = F.aggregate(F.sequence(F.lit(1), F.lit(_ROUNDS)), t, lambda a, _: F.when(F.contains(a, F.lit("](")), F.regexp_replace(a, _LINK, "$1")).otherwise(a))
-    return F.when(F.contains(t, F.lit("](")), F.regexp_replace(inner, _IMAGE, "$1")).otherwise(t)
+    return F.regexp_replace(inner, _IMAGE, "$1")
 
 
 def sanitize_markdown(text: Column | str) -> Column:
@@ -55,10 +55,10 @@ def strip_link_soup(text: Column | str, most_links: int = 4, under: int = 800, c
     links = lambda x: F.regexp_count(x, F.lit(r"\[[^\]]+\]\([^)]+\)"))
     stars, listed = r"\s+\*\s+\*\s+\[", rf"\s+\[[^\]]+\]\({cut_at}"
     cut = lambda x, pattern, least: F.when(F.regexp_instr(x, F.lit(pattern)) > least, F.trim(F.regexp_replace(x, rf"(?s){pattern}.*$", ""))).otherwise(x)
-    t = cut(F.trim(_c(text)), stars, 24)
-    t = F.when(links(t) >= cut_from, cut(t, listed, 40)).otherwise(t)
-    kept = F.trim(F.array_join(F.filter(F.split(t, "\n"), lambda x: ~((links(x) >= most_links) & (F.length(x) < under))), "\n"))
-    return F.when(kept != "", kept).otherwise(t)
+    lines = lambda x: F.trim(F.array_join(F.filter(F.split(x, "\n"), lambda y: ~((links(y) >= most_links) & (F.length(y) < under))), "\n"))
+    t = let(F.trim(_c(text)), lambda x: cut(x, stars, 24))
+    t = let(t, lambda x: F.when(links(x) >= cut_from, cut(x, listed, 40)).otherwise(x))
+    return let(t, lambda x: let(lines(x), lambda kept: F.when(kept != "", kept).otherwise(x)))
 
 
 def strip_leading(text: Column | str, pattern: str) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.sources.shared import shared_dir
+from skein.sources.shared import cut  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,11 +24,5 @@ def query(sql: str | None):
     return put
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows written to the shared folder, for results that are read more than once."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -19,3 +19,10 @@ def shared_dir(spark: SparkSession) -> str:
         context.setCheckpointDir(held or "file://" + tempfile.mkdtemp(prefix="skein-"))
         now = context._jsc.sc().getCheckpointDir()
     return (held or now.get()).rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder, for results that are read more than once or that
+    a long plan goes on from."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
