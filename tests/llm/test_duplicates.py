@@ -1,5 +1,6 @@
 """MinHash, components, embeddings, decontamination and line dedup against brute force."""
 
+import math
 import random
 from collections import Counter
 
@@ -120,6 +121,40 @@ def test_minhash_shape_follows_the_percentage(spark):
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()} == {d for d in want if want[d] == d}
 
 
+def test_minhash_in_crowds_that_share_a_passage(spark, monkeypatch):
+    """Large buckets: documents around one passage that don't link, groups of near copies in them,
+    and documents that are little but the passage."""
+    monkeypatch.setattr(minhash, "SMALL", 3)
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "COLUMNS", 64)
+    rng = random.Random(41)
+    passage = words(rng, 60)
+    docs = [" ".join(passage + words(rng, rng.randint(3, 24))) for _ in range(160)]
+    for base in docs[:40:4]:
+        for _ in range(6):
+            w = base.split()
+            w[rng.randrange(len(w))] = f"x{rng.randint(0, 999)}"
+            docs.append(" ".join(w))
+    docs.append(" ".join(words(rng, 40_000)))  # a very long one and its near copy
+    docs.append(docs[-1] + " more")
+    rng.shuffle(docs)
+    sets = {i: shingles(t) for i, t in enumerate(docs)}
+    pairs = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    want = smallest(pairs, sets)
+    got = {r.doc_id: r.component_id for r in minhash.link(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
+    assert got == want and 20 < sum(want[i] != i for i in want) < 160
+
+
+def test_minhash_rows_of_one_id(spark):
+    a, b, c = "a b c d e f g", "h i j k l m n", "o p q r s t u"
+    rows = [(5, a, 1), (5, a, 2), (5, b, 3), (3, b, 4), (7, c, 5), (7, c, 6), (None, a, 7), (None, a, 8), (9, None, 9), (9, None, 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __kept int")
+    got = {(r.doc_id, r.component_id, r.kept) for r in minhash.link(df).collect()}
+    assert got == {(5, 3, False), (3, 3, True), (7, 7, True), (None, None, True), (9, 9, True)}
+    left = minhash.keep_first(df)
+    assert left.columns == df.columns and sorted((str(r.doc_id), r.text) for r in left.collect()) == [("3", b), ("7", c), ("9", None), ("None", a), ("None", a)]
+
+
 def test_minhash_edge_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert minhash.link(empty).count() == 0
@@ -146,7 +181,7 @@ def test_embeddings(spark):
     crowd = base[0] + rng.normal(size=(80, 24)) * 0.1
     x = [list(map(float, v)) for v in np.concatenate([base, near, crowd, base[:5], 2 * base[5:8]])]
     rows = [(7 * i, v, 0) for i, v in enumerate(x)]
-    rows += [(-1, None, 0), (-2, [], 0), (-3, [0.0] * 24, 0), (-4, [float("nan")] * 24, 0), (-5, [None] * 24, 0), (-6, [1.0], 0), (-8, [float("inf")] * 24, 0)]
+    rows += [(-1, None, 0), (-2, [], 0), (-3, [0.0] * 24, 0), (-4, [float("nan")] * 24, 0), (-5, [None] * 24, 0), (-6, [1.0], 0), (-7, [1.0, 2.0], 0), (-9, [2.0, 4.1], 0), (-8, [float("inf")] * 24, 0)]
     got = {r.vec_id: r for r in pq_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>, kept int")).collect()}
     u = np.array(x) / np.linalg.norm(x, axis=1, keepdims=True)
     on = u @ u.T >= 0.9
@@ -156,23 +191,66 @@ def test_embeddings(spark):
     want = smallest([(7 * i, 7 * j) for i, j in zip(*np.nonzero(on)) if i < j], [7 * i for i in range(len(x))])
     assert np.mean([got[i].component_id == want[i] for i in want]) > 0.98
     assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i in (-1, -2, -3, -4, -5, -6, -8))
+    assert got[-7].n_links == got[-9].n_links == 1 and got[-7].component_id == -9
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert pq_dedup.link(empty).count() == 0
 
 
+def test_embedding_recall_in_many_lists(spark, monkeypatch):
+    """Lists of 8 vectors, so that probes are few of many, and blocks of 16 of a crowd."""
+    monkeypatch.setattr(pq_dedup, "PER_LIST", 8)
+    monkeypatch.setattr(pq_dedup, "BLOCK", 16)
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(2500, 48))
+    near = base[:700] + rng.normal(size=(700, 48)) * rng.uniform(0.1, 0.48, 700)[:, None]
+    x = np.concatenate([base, near, base[0] + rng.normal(size=(90, 48)) * 0.1])
+    got = {r.vec_id: r for r in pq_dedup.link(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    on = u @ u.T >= 0.9
+    np.fill_diagonal(on, False)
+    exact = on.sum(1)
+    assert all(got[i].n_links <= exact[i] for i in got)
+    loose = np.flatnonzero(exact < 50)  # the crowd doesn't hide the others
+    assert sum(got[i].n_links for i in loose.tolist()) >= 0.9 * exact[loose].sum() and sum(r.n_links for r in got.values()) >= 0.95 * exact.sum()
+
+
 def test_quantised_distances_are_within_the_error():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(500, 32))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     q = pq_dedup.Quantizer(x, 8)
-    of, codes, error = q.encode(x)
-    for cell in range(len(q.centres)):
+    of = q.nearest(x)[:, 0]
+    assert ((x - q.centre(of)) ** 2).sum(1) == pytest.approx(np.min([((x - q.centre(k)) ** 2).sum(1) for k in range(q.size)], axis=0))
+    codes, error = q.encode(x, of)
+    for cell in range(q.size):
         rows = np.flatnonzero(of == cell)
         if len(rows):
             real = np.linalg.norm(x[:40, None] - x[None, rows], axis=2)
             assert (np.abs(np.sqrt(np.maximum(0, q.squares(x[:40], cell, codes[rows]))) - real) <= error[rows] + 1e-6).all()
 
 
+def every_window(docs, items):
+    """Best weighted similarity of 0.8 or more per (doc_id, item_id), in plain Python."""
+
+    def bag(w):
+        return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
+
+    held = [(i, t.lower().split()) for i, t in items if t is not None]
+    holders = Counter(s for _, w in held for s in bag(w))
+    most, out = 1 + math.log(len(held)), {}
+    for key, text in docs:
+        d = (text or "").lower().split()
+        for item, w in held:
+            own = bag(w)
+            for at in range(max(1, len(d) - len(w) + 1)) if w and d else ():
+                other = bag(d[at : at + len(w)])
+                weight = {s: most - math.log(holders[s]) if s in own else most for s in {*own, *other}}
+                found = sum(weight[s] * min(own[s], other[s]) for s in weight) / sum(weight[s] * max(own[s], other[s]) for s in weight)
+                if found >= 0.8:
+                    out[key, item] = max(found, out.get((key, item), 0))
+    return out
+
+
 def test_decontamination_against_every_window(spark):
     rng = random.Random(2)
     items = [(i, " ".join(words(rng, n))) for i, n in enumerate([1, 3, 5, 9, 15, 30, 60, 60, 200])] + [(20, None), (21, ""), (22, "w1 w2 w3"), (22, "w1 w2 w3")]
@@ -186,28 +264,42 @@ def test_decontamination_against_every_window(spark):
             at = rng.randint(0, len(w))
             w = w[:at] + item + w[at:]
         docs.append((i, " ".join(w).upper() if i % 3 else " ".join(w)))
-    docs += [(500, None), (501, ""), (501, "")]
+    docs += [(500, None), (501, ""), (501, ""), (502, " ".join(items[7][1].split()[:55])), (503, items[6][1] + " w1"), (503, "clean"), (None, items[5][1]), (None, "clean too")]
+    docs.append((504, " ".join(words(rng, 30_000)) + " " + items[8][1]))
     d, b = spark.createDataFrame([(*r, 1) for r in docs], "doc_id long, text string, item_id int"), spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contaminated(d, b).collect()}
-    index = decontaminate.Index([(i, t) for i, t in sorted(((i, t) for i, t in items if t is not None))])
-    want = {}
-    for key, text in docs:
-        h, _ = common.word_hashes([text])
-        for n, item in enumerate(index.ids):
-            size = sum(index.counts[n].values())
-            count = len(common.word_hashes([dict((i, t) for i, t in items)[item]])[0])
-            if not count:
-                continue
-            for at in range(len(h) - count + 1):
-                found = index.similarity(Counter(common.shingle_hashes(h[at : at + count]).tolist()), n)
-                if found >= 0.8 and size:
-                    want[key, item] = max(found, want.get((key, item), 0))
+    want = every_window(docs, items)
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want) and len(want) > 40
+    assert (502, 7) in want and (504, 8) in want and (None, 5) in want
     clean = decontaminate.drop_contaminated(d, b)
-    assert clean.columns == d.columns and {r.doc_id for r in clean.collect()} == {k for k, _ in docs} - {k for k, _ in want}
+    kept = sorted((str(k), str(t)) for k, t in docs if not every_window([(k, t)], items))
+    assert clean.columns == d.columns and sorted((str(r.doc_id), str(r.text)) for r in clean.collect()) == kept and ("503", "clean") in kept
     assert decontaminate.contaminated(d, b.limit(0)).count() == 0 and decontaminate.contaminated(d.limit(0), b).count() == 0
 
 
+def test_decontamination_of_short_items_and_in_blocks(spark, monkeypatch):
+    rng = random.Random(12)
+    items = [(i, " ".join(words(rng, 5 + i % 16))) for i in range(160)]
+    docs = []
+    for i, (_, text) in enumerate(items * 3):
+        w = text.split()
+        if i >= 160:  # an edit at an end takes one shingle
+            w[0 if i % 2 else -1] = "edit"
+        docs.append((i, " ".join(words(rng, 20) + w + words(rng, 20))))
+    want = every_window(docs, items)
+    monkeypatch.setattr(decontaminate, "CLASS_ITEMS", 4)
+    for most in (20_000, 50):
+        monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", most)
+        index = list(decontaminate._indexes(spark.createDataFrame(items, "item_id long, text string")))
+        assert len(index) == (1 if most > 160 else 4)
+        found = {}
+        for x in index:
+            for key, text in docs:
+                found |= {(key, x.ids[n]): s for n, (s, _) in x.scan(common.word_hashes([text])[0]).items()}
+        assert set(found) <= set(want) and len(found) >= 0.999 * len(want) and len(want) > 300
+        assert all(abs(found[k] - want[k]) < 1e-9 for k in found)
+
+
 def test_hamming_tables_return_all_within_the_radius():
     rng = np.random.default_rng(8)
     prints = [int(x) for x in rng.integers(0, 2**63, 70)]

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -67,6 +68,47 @@ def test_pages(page, want):
     assert want is None or got == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        # elements that embed something: unclosed ones hide nothing but themselves, nested ones all
+        ("<article><p>one</p><select><option>A<option>B<p>two</p><video src=x><p>three</p></article>", "one\ntwo\nthree"),
+        ("<article><object><object>x</object>y</object><p>z</p></article>", "z"),
+        ("<article><p>a<svg><text>no</text></svg>b<svg/>c</p></article>", "a b c"),
+        ("<article><p>1 < 2 and 3 > 2</p></article>", "1 < 2 and 3 > 2"),
+        ('<article><p>cut here</p><div class="never', "cut here"),
+        ("<article><p title=it's>x</p><p data-x=\"a>b\">y</p></article>", "x\ny"),
+    ],
+)
+def test_markup(page, want):
+    assert html_tree.trained().extract(page) == want
+
+
+WORDS = "The river rose again in the night and by the morning the lower road was under water, so the school stayed closed."
+LAYOUTS = [
+    # a blog: sidebar before the post, remarks after it
+    (f'<body class="home"><div id="masthead"><a href="/">Blog</a></div><div id="sidebar"><ul><li><a href="/1">Old post</a></li><li><a href="/2">Older post</a></li></ul></div><div id="content"><div class="post"><h2>Flood</h2><div class="entry"><p>{WORDS}</p><p>{WORDS}</p></div></div><div id="comments"><h3>2 replies</h3><ol class="commentlist"><li><p>I saw it as well from my window on the hill.</p></li></ol></div></div><div id="footer"><p>Powered by hope</p></div></body>', f"Flood\n{WORDS}\n{WORDS}"),
+    # manual pages: menu beside the main element
+    (f'<body><div class="topbar"><form><input name=q><button>Find</button></form></div><div class="wrap"><nav class="toc"><ol><li><a href="#a">Start</a></li><li><a href="#b">Use</a></li></ol></nav><main><h1>Manual</h1><p>{WORDS}</p><pre>run --all</pre><ul><li>first step of the three</li><li>second step of the three</li></ul></main></div></body>', f"Manual\n{WORDS}\nrun --all\nfirst step of the three\nsecond step of the three"),
+    # news: notices and adverts in between
+    (f'<body><div class="cookie-banner"><p>We use cookies to make this better.</p><button>Fine</button></div><header><div class="logo">News</div><nav><a href="/">Home</a></nav></header><article><header><h1>Water</h1></header><p>{WORDS}</p><div class="ad-slot"><p>Buy boats now</p></div><p>{WORDS}</p></article><aside><h3>More</h3><ul><li><a href="/x">Storm</a></li></ul></aside><footer>&copy; News</footer></body>', f"{WORDS}\n{WORDS}"),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), LAYOUTS)
+def test_layouts_that_training_does_not_write(page, want):
+    got = html_tree.trained().extract(page).split("\n")
+    assert [x for x in got if x not in ("Water",)] == want.split("\n")  # a headline in a header may count either way
+
+
+def test_hostile_pages_take_linear_time():
+    pages = ["<a" * 500_000, "<div>" * 200_000 + "x", "<p>t</p><div class='" + "x " * 500_000, '<a b="' * 170_000, "<!--" * 250_000, "</" * 500_000, "<center>" * 60_000 + "<li></li>" * 60_000, "<" * 1_000_000, "<video>" * 140_000, "<p " + "=" * 1_000_000 + ">x", "<select>" * 70_000 + "</select>" * 70_000]
+    for page in pages:
+        began = time.process_time()
+        html_tree.parse(page)
+        assert time.process_time() - began < 4, page[:20]
+
+
 def test_extract_pages(spark):
     html = '<nav><a href="/">m</a></nav><article><p>é text here</p></article>'
     rows = [(1, "u", html, "x"), (1, "u", html, "x"), (2, None, None, "x"), (None, "v", "", "x")]
@@ -138,6 +180,79 @@ def test_scores_against_a_plain_count(spark, monkeypatch):
     assert empty.count() == 0
 
 
+def plain_scores(docs, order):
+    """{doc_id: log10 probability} by dictionaries, and the mean over held-out tokens."""
+    tokens = [(d, [*(t or "").lower().split(), "</end>"]) for d, t in docs]
+    out = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 10 == 0
+    pad = ["<begin>"] * order
+    counts = Counter(tuple([*pad, *w][k + order - n + 1 : k + order + 1]) for d, w in tokens if not out(d) for n in range(1, order + 1) for k in range(len(w)))
+    total, documents = sum(len(w) for d, w in tokens if not out(d)), sum(not out(d) for d, _ in tokens)
+    v = sum(len(g) == 1 for g in counts)
+
+    def seen(w, k, less):
+        """Bucket and estimates of a token; less: without one occurrence."""
+        history = [*pad, *w]
+        shares, bucket = [], 0
+        for n in range(1, order + 1):
+            gram = max(0, counts[tuple(history[k + order - n + 1 : k + order + 1])] - less)
+            context = total if n == 1 else documents if k == 0 else counts[tuple(history[k + order - n + 1 : k + order])]
+            context = max(0, context - less)
+            if n > 1 and context:
+                bucket = (n - 1) * interpolated_lm.BUCKETS + min(int(math.log2(context)), interpolated_lm.BUCKETS - 1)
+            shares.append(gram / context if context else 0.0)
+        return bucket, shares
+
+    cells = Counter()
+    for d, w in tokens:
+        for k in range(len(w)) if not out(d) else ():
+            bucket, shares = seen(w, k, 1)
+            cells[bucket, tuple(round(-math.log2(s) * interpolated_lm.STEP) if s else None for s in shares)] += 1
+    weights = {}
+    for bucket in range(order * interpolated_lm.BUCKETS):
+        rows = [(n, [1 / (v + 1), *(0.0 if c is None else 2 ** (-c / interpolated_lm.STEP) for c in cell)]) for (b, cell), n in cells.items() if b == bucket]
+        now = [1 / (order + 1)] * (order + 1)
+        for _ in range(40):
+            new = [1e-3] + [1e-6] * order
+            for n, p in rows:
+                mixed = [x * y for x, y in zip(now, p)]
+                new = [x + n * y / sum(mixed) for x, y in zip(new, mixed)]
+            now = [x / sum(new) for x in new]
+        weights[bucket] = now
+    scores, apart = [], []
+    for d, w in tokens:
+        each = []
+        for k in range(len(w)):
+            bucket, shares = seen(w, k, 0)
+            each.append(math.log10(sum(x * y for x, y in zip(weights[bucket], [1 / (v + 1), *shares]))))
+        scores.append((d, sum(each)))
+        apart += each if out(d) else []
+    return scores, sum(apart) / len(apart)
+
+
+def test_scores_against_dictionaries_at_every_order(spark, monkeypatch):
+    """Words that mostly follow from the two before them: each order predicts held-out text
+    better. Small blocks and two parts a level make the exchange several levels deep."""
+    monkeypatch.setattr(interpolated_lm, "BLOCK_BYTES", 600)
+    rng = random.Random(17)
+    docs = []
+    for i in range(220):
+        w = [f"W{rng.randrange(12)}" for _ in range(2)]
+        for _ in range(rng.randint(0, 60)):
+            w.append(f"w{(3 * int(w[-1][1:]) + 5 * int(w[-2][1:])) % 12}" if rng.random() < 0.8 else f"w{rng.randrange(12)}")
+        docs.append((i, " ".join(w)))
+    docs += [(500, None), (501, ""), (502, "one rare line"), (0, docs[0][1]), (None, "w1 w2"), (7, "w3 " * 3000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    means = []
+    for order, bits in ((1, 7), (2, 7), (3, 7), (3, 1)):
+        monkeypatch.setattr(interpolated_lm, "FAN_BITS", bits)
+        want, mean = plain_scores(docs, order)
+        means.append(mean)
+        got = sorted(((str(r.doc_id), r.score) for r in interpolated_lm.score(df, order).collect()))
+        assert [x for x, _ in got] == [x for x, _ in sorted((str(d), s) for d, s in want)]
+        assert np.allclose([s for _, s in got], [s for _, s in sorted((str(d), s) for d, s in want)], rtol=1e-9)
+    assert means[0] < means[1] < means[2] == means[3]
+
+
 def test_the_query_uses_trigrams(spark):
     rng = random.Random(12)
     docs = []
