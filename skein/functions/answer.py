@@ -9,8 +9,18 @@ from pyspark.sql import functions as F
 
 from skein.functions.text import contains_any, let, sentences, strip
 
-# fixed values: markup, and how many rounds nested links take at most
+# fixed values: markup that answers are rid of, in the order of replacement, and how many rounds
+# nested links take at most
 _LINK, _IMAGE, _ROUNDS = r"\[([^\]]*)\]\([^)]*\)", r"!\[([^\]]*)\]\([^)]*\)", 24
+LIGHT = (("[`#>]+", ""), ("\n{3,}", "\n\n"), (r"\*\*\s+", "**"), (r"\*\*([^*]+)\*\*([А-Яа-яA-Za-z«(])", r"**$1** $2"))
+LINKLESS = ((r"https?://[^\s)]+", ""), (r"\s{2,}", " "), (r"\(\s*\)", ""))
+PLAIN = ((r"\*\*([^*]+)\*\*", "$1"), ("__([^_]+)__", "$1"), (r"(?<!\*)\*([^*]+)\*(?!\*)", "$1"), (r"https?://[^\s\])]+", ""), (r"[*_`#>\[\]]", ""), (r"\s+", " "))
+
+
+def _replaced(t: Column, table) -> Column:
+    for pattern, to in table:
+        t = F.regexp_replace(t, pattern, to)
+    return F.trim(t)
 
 
 def _c(x: Column | str) -> Column:
@@ -30,10 +40,7 @@ def _bare_links(t: Column) -> Column:
 
 def sanitize_markdown(text: Column | str) -> Column:
     """Light markdown: no back-ticks, hashes or quotes; bold marks hug their text."""
-    t = F.regexp_replace(_c(text), "[`#>]+", "")
-    t = F.regexp_replace(t, "\n{3,}", "\n\n")
-    t = F.regexp_replace(t, r"\*\*\s+", "**")
-    return F.trim(F.regexp_replace(t, r"\*\*([^*]+)\*\*([А-Яа-яA-Za-z«(])", r"**$1** $2"))
+    return _replaced(_c(text), LIGHT)
 
 
 def tagged(text: Column | str) -> tuple[Column, Column]:
@@ -44,8 +51,7 @@ def tagged(text: Column | str) -> tuple[Column, Column]:
 
 
 def strip_links(text: Column | str) -> Column:
-    t = F.regexp_replace(_bare_links(F.trim(_c(text))), r"https?://[^\s)]+", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"\s{2,}", " "), r"\(\s*\)", ""))
+    return _replaced(_bare_links(F.trim(_c(text))), LINKLESS)
 
 
 def strip_link_soup(text: Column | str, most_links: int = 4, under: int = 800, cut_at: str = r"/pubs\?", cut_from: int = 8) -> Column:
@@ -69,10 +75,7 @@ def strip_leading(text: Column | str, pattern: str) -> Column:
 
 def strip_markdown(text: Column | str) -> Column:
     """Plain text for speech."""
-    t = _bare_links(F.trim(_c(text)))
-    for pattern, to in ((r"\*\*([^*]+)\*\*", "$1"), ("__([^_]+)__", "$1"), (r"(?<!\*)\*([^*]+)\*(?!\*)", "$1"), (r"https?://[^\s\])]+", ""), (r"[*_`#>\[\]]", ""), (r"\s+", " ")):
-        t = F.regexp_replace(t, pattern, to)
-    return F.trim(t)
+    return _replaced(_bare_links(F.trim(_c(text))), PLAIN)
 
 
 def dedupe_sentences(text: Column | str) -> Column:

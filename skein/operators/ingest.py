@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
 from skein.functions import urls as U
 from skein.rules import Profile
+from skein.sources.records import html_to_markdown
 
 #: (min, max, overlap) tokens of chunks, by source type.
 CHUNKS = {"web": (120, 220, 30), "document": (250, 400, 60)}
@@ -238,6 +242,42 @@ def frontier(links: DataFrame, seeds: DataFrame, rounds: int = 8, cut=None) -> D
     return seen
 
 
+def crawl(seeds: DataFrame, fetch: Callable[[str], tuple[int, str, str]], profile: Profile, most_pages: int = 2000, rounds: int = 40, least_words: int = 10, cut=None) -> DataFrame:
+    """(url, depth, html) of the pages reached from the seeds (url), breadth first: crawlable
+    addresses, each fetched once, answered with status 200 and HTML that has at least
+    ``least_words`` words as markdown.
+
+    ``fetch`` is the plug point for HTTP: (status, content type, body) of an address; it runs in
+    the workers and keeps its own pace. ``most_pages`` ends the crawl, nearest pages first."""
+    cut = cut or (lambda df: df.checkpoint())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for url in batch["url"]:
+                try:
+                    status, kind, body = fetch(url)
+                except OSError:
+                    status, kind, body = 0, "", ""  # a page that can't be had is none
+                ok = status == 200 and "text/html" in kind and len(html_to_markdown(body).split()) >= least_words
+                rows.append(body if ok else None)
+            yield pd.DataFrame({"url": batch["url"], "html": rows})
+
+    edge = seeds.select(U.canonicalize_url("url").alias("url")).filter((F.col("url") != "") & U.is_crawlable("url", profile)).distinct()
+    seen, found, count = None, None, 0
+    for depth in range(rounds):
+        new = edge if seen is None else edge.join(seen, "url", "left_anti")
+        new = cut(new.orderBy("url").limit(most_pages - count) if depth else new.limit(most_pages))
+        seen = cut(new.select("url") if seen is None else seen.unionByName(new.select("url")))
+        pages = cut(new.mapInPandas(run, "url string, html string").withColumn("depth", F.lit(depth)).filter("html is not null"))
+        found = pages if found is None else found.unionByName(pages)
+        count = seen.count()
+        edge = pages.select(F.explode(U.page_links("html", F.col("url"), profile)).alias("link")).select(U.canonicalize_url("link").alias("url")).filter("url <> ''").distinct()
+        if count >= most_pages or edge.isEmpty():
+            break
+    return found.select("url", "depth", "html")
+
+
 # --- records ---------------------------------------------------------------------------------
 
 

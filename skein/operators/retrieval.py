@@ -17,6 +17,11 @@ from skein.rules import Profile
 
 # fixed values: BM25's constants
 K1, B = 1.5, 0.75
+# fixed values: weights and limits of the policy
+OVERLAP_WEIGHT, NUMBER_IN_ADDRESS, NUMBER_IN_TITLE = 0.45, 0.28, 0.18
+STALE, HOME, AWAY = 0.08, 0.08, 0.18
+LOW_SIGNAL, BOILERPLATE, LOW_PRIORITY, FAQ, GREETING, FAQ_PAGE = 0.45, 0.18, 0.16, 0.34, 0.16, 0.12
+QUALITY, QUALITY_WEIGHT, RERANK_WEIGHT = 0.65, 0.4, 0.35
 #: Bytes of query vectors that are broadcast at once; more queries go in blocks.
 QUERY_BYTES = 32 << 20
 
@@ -216,8 +221,8 @@ def structural_bonus(tokens: Column, query: Column, source: Column, title: Colum
     overlap = F.when(F.size(wanted) > 0, F.size(F.array_intersect(wanted, structural_tokens(source, title, section, profile))) / F.size(wanted)).otherwise(0.0)
     numbers = query_numbers(query)
     low, head = F.lower(source), F.lower(title)
-    by_number = F.aggregate(numbers, F.lit(0.0), lambda a, n: a + F.when(F.contains(low, F.concat(F.lit("/"), n)), 0.28).otherwise(0.0) + F.when(F.contains(head, F.concat(F.lit("№"), n)) | F.contains(head, F.concat(F.lit(" "), n)), 0.18).otherwise(0.0))
-    return F.coalesce(0.45 * overlap, F.lit(0.0)) + by_number
+    by_number = F.aggregate(numbers, F.lit(0.0), lambda a, n: a + F.when(F.contains(low, F.concat(F.lit("/"), n)), NUMBER_IN_ADDRESS).otherwise(0.0) + F.when(F.contains(head, F.concat(F.lit("№"), n)) | F.contains(head, F.concat(F.lit(" "), n)), NUMBER_IN_TITLE).otherwise(0.0))
+    return F.coalesce(OVERLAP_WEIGHT * overlap, F.lit(0.0)) + by_number
 
 
 def _per_intent(held: Column, profile: Profile, value) -> Column:
@@ -226,13 +231,13 @@ def _per_intent(held: Column, profile: Profile, value) -> Column:
 
 def freshness_penalty(is_archived: Column, held: Column, profile: Profile) -> Column:
     """For archived hits: the largest of what the query's intents set, 0.08 at least."""
-    worst = F.greatest(F.lit(0.08), *[F.when(F.array_contains(held, n), i.stale_penalty).otherwise(0.0) for n, i in profile.intents.items()], F.lit(0.0))
+    worst = F.greatest(F.lit(STALE), *[F.when(F.array_contains(held, n), i.stale_penalty).otherwise(0.0) for n, i in profile.intents.items()], F.lit(0.0))
     return F.when(is_archived, worst).otherwise(0.0)
 
 
 def source_bonus(source: Column, held: Column, profile: Profile) -> Column:
     low = F.lower(source)
-    home = F.when(F.contains(low, F.lit(profile.domain)), 0.08).otherwise(0.0)
+    home = F.when(F.contains(low, F.lit(profile.domain)), HOME).otherwise(0.0)
     return home + _per_intent(held, profile, lambda n, i: F.when(T.contains_any(low, i.preferred_sources), i.source_bonus).otherwise(0.0))
 
 
@@ -258,11 +263,11 @@ def source_penalty(source: Column, page_type: Column, flags: Column, quality: Co
     low = F.lower(source)
     on = lambda c, v: F.when(c, v).otherwise(0.0)
     faq = F.contains(low, F.lit("/faq"))
-    fixed = on(F.array_contains(flags, "is_low_signal"), 0.45) + on(F.array_contains(flags, "is_boilerplate_heavy"), 0.18) + on(F.array_contains(flags, "is_low_priority_source"), 0.16)
-    fixed = fixed + on(faq | F.contains(low, F.lit("/sitemap")), 0.34) + on(F.contains(low, F.lit("/greeting")), 0.16) + on(page_type == "faq", 0.12)
+    fixed = on(F.array_contains(flags, "is_low_signal"), LOW_SIGNAL) + on(F.array_contains(flags, "is_boilerplate_heavy"), BOILERPLATE) + on(F.array_contains(flags, "is_low_priority_source"), LOW_PRIORITY)
+    fixed = fixed + on(faq | F.contains(low, F.lit("/sitemap")), FAQ) + on(F.contains(low, F.lit("/greeting")), GREETING) + on(page_type == "faq", FAQ_PAGE)
     strict = F.greatest(F.lit(0.0), *[F.when(F.array_contains(held, n) & faq, i.faq_penalty).otherwise(0.0) for n, i in profile.intents.items()], F.lit(0.0))
-    away = _per_intent(held, profile, lambda n, i: F.when(F.lit(bool(i.preferred_sources)) & ~T.contains_any(low, i.preferred_sources), 0.18).otherwise(0.0))
-    return fixed + strict + away + F.greatest(F.lit(0.0), F.lit(0.65) - quality) * 0.4
+    away = _per_intent(held, profile, lambda n, i: F.when(F.lit(bool(i.preferred_sources)) & ~T.contains_any(low, i.preferred_sources), AWAY).otherwise(0.0))
+    return fixed + strict + away + F.greatest(F.lit(0.0), F.lit(QUALITY) - quality) * QUALITY_WEIGHT
 
 
 def policy(hits: DataFrame, profile: Profile) -> DataFrame:
@@ -320,7 +325,7 @@ def rerank(hits: DataFrame, tokens: Column, text: Column, k: int, profile: Profi
     tanh(score). model: Column function of (query, text)."""
     wanted = F.array_distinct(tokens)
     overlap = F.size(F.array_intersect(wanted, T.tokenize(text, profile.stopwords))) / F.greatest(F.lit(1), F.size(wanted))
-    new = overlap + F.tanh("score") if model is None else model(F.col("query"), text) + 0.35 * F.greatest("score", F.lit(0.0))
+    new = overlap + F.tanh("score") if model is None else model(F.col("query"), text) + RERANK_WEIGHT * F.greatest("score", F.lit(0.0))
     return top_k(hits.withColumn("rerank_score", F.round(new, 6)).drop("rank"), k, "rerank_score", key)
 
 

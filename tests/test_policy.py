@@ -294,6 +294,24 @@ def test_crawl_artifacts(spark, tmp_path):
     assert seed["record_count"] == 2 and S.read_seed_records(spark, str(tmp_path / "seeds")).count() == 2
 
 
+def test_crawl(spark):
+    words = " ".join(f"word{i}" for i in range(12))
+
+    def fetch(url):
+        pages = {"a": ("b", "c", "x.pdf"), "b": ("a", "d"), "c": (), "d": ("e",), "e": ()}
+        name = url.rsplit("/", 1)[-1]
+        if name == "e":
+            raise OSError
+        body = "".join(f'<a href="/{x}">{x}</a>' for x in pages[name])
+        return (404 if name == "c" else 200), "text/html; charset=utf-8", f"<p>{'few' if name == 'd' else words}</p>{body}"
+
+    seeds = spark.createDataFrame([("https://www.example.net/a",), ("https://www.example.net/a/",), ("ftp://x",)], "url string")
+    rules = dataclasses.replace(SYNTHETIC, hosts=("example.net",))
+    got = {(r.url[-1], r.depth) for r in I.crawl(seeds, fetch, rules).collect()}
+    assert got == {("a", 0), ("b", 1)}  # c isn't there, d has too few words, so e is never met
+    assert I.crawl(seeds, fetch, rules, most_pages=1).count() == 1
+
+
 def test_checksum_of_a_large_corpus(spark, monkeypatch):
     df = spark.range(500).select(F.col("id").alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("h"))
     whole = S.corpus_checksum(df, "k", "h").first()[0]
