@@ -30,12 +30,15 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``. Where it is unset, a temporary one, but only in a
+    session of one machine (tests); on a cluster that is an error."""
     held = spark.conf.get("spark.checkpoint.dir", None)
     if not held:
         now = spark.sparkContext._jsc.sc().getCheckpointDir()
         if now.isDefined():
             held = now.get()
+        elif spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir isn't set")
         else:
             held = "file://" + tempfile.mkdtemp(prefix="skein-")
             spark.sparkContext.setCheckpointDir(held)

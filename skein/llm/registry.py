@@ -22,7 +22,7 @@ def op1_html_tree(spark, sf_dir):
 
 
 def op2_sentencepiece(spark, sf_dir):
-    return piece_bpe.digest_documents(table(spark, sf_dir, "documents"), PIECES)
+    return piece_bpe.digest_documents(table(spark, sf_dir, "documents"), PIECES, surface=True)
 
 
 def op3_decontaminate(spark, sf_dir):

@@ -55,6 +55,12 @@ def test_piece_digests(spark, pieces):
     assert piece_bpe.digest_documents(docs.limit(0), PIECES).count() == 0
 
 
+def test_the_agenda_is_right_without_the_library_s_check(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = piece_bpe.digest_documents(docs, PIECES, surface=True)
+    assert got.columns[-1] == "mismatches" and got.agg({"mismatches": "sum"}).first()[0] == 0
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=60))
 def test_bytes_are_the_library_s(text):
