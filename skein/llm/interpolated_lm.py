@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from skein.llm.common import SLICE_BYTES, bounded_batches, fold, materialize, mix64, slices, word_hashes
 
 ORDER = 3
-#: Text bytes in a block, and leading bits that deal its n-grams out: 128 parts an order.
-BLOCK_BYTES, FAN_BITS = 8 << 20, 7
+#: Text bytes in a block, and leading bits that deal its n-grams out: 256 parts an order.
+BLOCK_BYTES, FAN_BITS = 5 << 20, 8
 END, BEGIN = np.uint64(0x0E2D), np.uint64(0xBE61)
 #: Frequency buckets per order; log2 steps of the histogram that the weights are fitted on.
 BUCKETS, STEP = 12, 2.0
