@@ -342,8 +342,11 @@ def keep_first(docs: DataFrame, percent: int = 85, shingle: int = 5) -> DataFram
     """The row of ``docs`` of the smallest id of each component, with all its columns; of several
     rows of one id the one whose text has the smallest hash. Rows with a null id stay."""
     found = link(docs, percent, shingle).groupBy(F.col("doc_id").alias("__id")).agg(F.bool_or("kept").alias("__kept"), F.count("*").alias("__rows"))
-    found = materialize(found.filter("__kept"), "kept")
-    once = docs.join(found.filter("__rows = 1 or __id is null"), docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
-    again = docs.join(found.filter("__rows > 1 and __id is not null"), docs["doc_id"] == F.col("__id"), "left_semi")
-    one = again.groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.xxhash64("text")).alias("__row"))
-    return once.unionByName(one.select("__row.*"))
+    found = materialize(found.filter("__kept").select("__id", ((F.col("__rows") > 1) & F.col("__id").isNotNull()).alias("__again")), "kept")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    # ids grow with the documents, so they aren't broadcast
+    held = docs.join(found.hint("merge"), docs["doc_id"].eqNullSafe(F.col("__id")))
+    if found.filter("__again").isEmpty():
+        return held.select(*names)
+    one = held.filter("__again").groupBy("__id").agg(F.min_by(F.struct(*names), F.xxhash64("text")).alias("__row"))
+    return held.filter("not __again").select(*names).unionByName(one.select("__row.*"))
