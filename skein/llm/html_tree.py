@@ -45,10 +45,10 @@ EMBEDDED = frozenset("template svg math select object audio video canvas".split(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
-    "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
+    "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 #: Elements that end when one of these opens next to them.
-ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tbody"), "tfoot": ("tbody",)}
+ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("thead", "tbody"), "tfoot": ("tbody",)}
 HOLDS = frozenset("ul ol menu dl table select article section div body".split())
 
 # no part of these is tried twice at a place, so a page takes time in proportion to its length
@@ -196,7 +196,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if tag == "a":
             linked = not ending
         elif tag not in BLOCK:
-            if tag in VOID or tag in EMBEDDED:
+            if tag in VOID or tag in EMBEDDED or choice:
                 run.append(" ")
         elif ending:
             if depth := open_.depth((tag,)):
@@ -393,9 +393,11 @@ def labelled_pages(count: int = 200, seed: int = 7) -> list[str]:
 
     pages = []
     for _ in range(count):
-        top = off("nav", f"<ul>{anchors(rng.randint(2, 8))}</ul>", "menu", 0.7) if rng.random() < 0.8 else ""
+        # a tag that says what it is, or a div whose name does
+        tagged = lambda tag, kind, inner, plain: off(tag, inner, kind, plain) if rng.random() < 0.75 else off("div", inner, kind, 0.02)
+        top = tagged("nav", "menu", f"<ul>{anchors(rng.randint(2, 8))}</ul>", 0.7) if rng.random() < 0.8 else ""
         if rng.random() < 0.5:
-            top = off("header", f"<h1>{words(1, 3)}</h1>{top}" if rng.random() < 0.4 else f"<div>{words(1, 3)}</div>{top}", "head", 0.6)
+            top = tagged("header", "head", f"<h1>{words(1, 3)}</h1>{top}" if rng.random() < 0.4 else f"<div>{words(1, 3)}</div>{top}", 0.6)
         title = f"<h1>{words(2, 9).capitalize()}</h1>" if rng.random() < 0.9 else ""
         inner = title + paragraphs() + (extra() if rng.random() < 0.5 else "") + (paragraphs() if rng.random() < 0.4 else "")
         tag = rng.choices(["article", "main", "div", "section"], [8, 3, 2, 1])[0]
@@ -407,7 +409,7 @@ def labelled_pages(count: int = 200, seed: int = 7) -> list[str]:
             main = re.sub(r"<(p|h[1-6]|ul|blockquote|table|pre)>", r'<\1 data-main="1">', title + paragraphs())
         before = "".join(extra() for _ in range(rng.choice([0, 1, 1, 2])))
         after = "".join(extra() for _ in range(rng.choice([0, 0, 1, 2])))
-        foot = off("footer", rng.choice([f"&copy; {words(1, 2)} &middot; {line(3, 12)}", f"<p>{line(3, 12)}</p><ul>{anchors(3)}</ul>"]), "foot", 0.6) if rng.random() < 0.9 else ""
+        foot = tagged("footer", "foot", rng.choice([f"&copy; {words(1, 2)} &middot; {line(3, 12)}", f"<p>{line(3, 12)}</p><ul>{anchors(3)}</ul>", f"<p>{line(2, 12)}</p>"]), 0.6) if rng.random() < 0.9 else ""
         pages.append(f'<!DOCTYPE html><html><head><title>{words(1, 5)}</title><script>var t="</p>";</script></head><body data-main="0">{top}{before}{main}{after}{foot}' + rng.choice(["</body></html>", ""]))
     return pages
 
