@@ -30,7 +30,7 @@ from skein.llm.common import bounded_batches, slices
 #: Segments held per worker; when full, the table starts anew. Longer segments aren't held.
 CACHE_ENTRIES, CACHE_CHARS = 500_000, 40
 #: Segments up to this length are merged together, row by row of a table of agendas.
-ROW_CHARS = 24
+ROW_CHARS, ROWS = 24, 2000
 NORMAL, BYTE, USER = 1, 6, 4
 
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, mismatches long"
@@ -78,7 +78,8 @@ class PieceBpe:
         self.symbol_ids = [self._ids(x) for x in self.symbol]
         self.plain_id = np.array([x[0] if len(x) == 1 else -1 for x in self.symbol_ids], np.int32)
         self.of_char = np.full(0x110000, -1, np.int32)
-        for c in (x for x in self.symbol if len(x) == 1):
+        self.characters = frozenset(x for x in self.symbol if len(x) == 1)
+        for c in self.characters:
             self.of_char[ord(c)] = self.symbol[c]
 
     def _ids(self, symbol: str) -> list[int]:
@@ -163,9 +164,12 @@ class PieceBpe:
 
     def learn(self, segments: set[str]) -> dict[str, tuple[int, ...]]:
         """Encodes new segments and checks them against the library in one call."""
-        symbol = self.symbol
-        short = [s for s in segments if len(s) <= ROW_CHARS and all(c in symbol for c in s)]
-        out = dict(zip(short, self.merge_rows(short))) if short else {}
+        known = self.characters.issuperset
+        # rows of one length waste no width
+        short = sorted((s for s in segments if len(s) <= ROW_CHARS and known(s)), key=len)
+        out = {}
+        for at in range(0, len(short), ROWS):
+            out.update(zip(short[at : at + ROWS], self.merge_rows(short[at : at + ROWS])))
         for s in segments.difference(out):
             out[s] = tuple(self.merge(s))
         # the prefix alone is the one segment that the library can't be given on its own
