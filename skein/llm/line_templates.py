@@ -28,8 +28,12 @@ from skein.llm.common import materialize
 MIN_DOCS, LEADING, PARTS = 3, 3, 4
 
 
-#: Texts without any of this are their own templates line by line.
-_TO_CLEAN = r"[0-9\t\r\x0B\f]|  |(?m:^ | $)"
+def _to_clean(text: Column) -> Column:
+    """Texts without any of this are their own templates line by line."""
+    inner = text.rlike(r"[0-9\t\r\x0B\f]")
+    for part in ("  ", "\n ", " \n"):
+        inner = inner | F.contains(text, F.lit(part))
+    return inner | text.startswith(" ") | text.endswith(" ")
 
 
 def template(line: Column) -> Column:
@@ -38,7 +42,7 @@ def template(line: Column) -> Column:
 
 
 def _head(text: Column, n: Column | int) -> Column:
-    """The first n tokens."""
+    """The first n tokens, or the last -n."""
     return F.call_function("substring_index", text, F.lit(" "), n if isinstance(n, Column) else F.lit(n))
 
 
@@ -53,7 +57,7 @@ def _parsed(docs: DataFrame, lead: int) -> DataFrame:
     split = F.split("text", "\n")
     cleaned = F.transform(split, lambda x, i: F.struct(i.alias("pos"), template(x).alias("t"), x.alias("raw")))
     plain = F.transform(split, lambda x, i: F.struct(i.alias("pos"), x.alias("t"), F.lit(None).cast("string").alias("raw")))
-    lines = F.filter(F.when(F.col("text").rlike(_TO_CLEAN), cleaned).otherwise(plain), lambda x: x["t"] != "")
+    lines = F.filter(F.when(_to_clean(F.col("text")), cleaned).otherwise(plain), lambda x: x["t"] != "")
     rows = _keyed(docs).select(F.col("__doc").alias("doc"), lines.alias("lines"))
     # the hash is taken before the lines are told apart, so once a document
     rows = rows.select("doc", F.xxhash64("lines.t").alias("copy"), "lines").select("doc", "copy", F.explode("lines").alias("x")).select("doc", "copy", "x.*")
@@ -63,10 +67,10 @@ def _parsed(docs: DataFrame, lead: int) -> DataFrame:
     rows = rows.withColumn("own", 2 * fields > F.col("n"))
     tail, t = F.col("n") - lead, F.col("t")
     long = ~F.col("own") & (tail >= PARTS)
-    rows = rows.withColumns({f"c{j}": F.when(long, F.length(_head(t, lead + F.floor(tail * j / PARTS).cast("int")))) for j in range(PARTS + 1)})
-    rows = rows.withColumns({f"p{j}": F.xxhash64(F.substr(t, F.col(f"c{j}") + 1, F.col(f"c{j + 1}") - F.col(f"c{j}"))) for j in range(PARTS)})
-    rows = rows.withColumn("leaf", F.xxhash64("n", _head(t, lead)))
-    groups = [F.xxhash64("leaf", F.lit(j), *[F.col(f"p{i}") for i in range(PARTS) if i != j]) for j in range(PARTS)]
+    ends = [lead + F.floor(tail * j / PARTS).cast("int") for j in range(PARTS + 1)]
+    # a group is what stands before and after one part; its size and place fix where they end
+    after = [_head(t, ends[j + 1] - F.col("n")) for j in range(PARTS - 1)] + [F.lit("")]
+    groups = [F.xxhash64("n", F.lit(j), _head(t, ends[j]), after[j]) for j in range(PARTS)]
     exact = F.when(F.col("own"), F.xxhash64(F.lit("="), F.trim(F.regexp_replace(F.coalesce("raw", "t"), r"\s+", " ")))).otherwise(F.xxhash64("t"))
     return rows.select("doc", "copy", "pos", F.when(long, F.array(exact, *groups)).otherwise(F.array(exact)).alias("keys"))
 
