@@ -13,6 +13,7 @@ repeated rows and ids are encoded row by row; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import re
@@ -185,16 +186,20 @@ class PieceBpe:
         cut = [self.segments(t) if t else [] for t in texts]
         if len(self.known) > CACHE_ENTRIES:
             self.known.clear()
-        table, extra = self.known, {}
-        found = [list(map(table.get, segments)) for segments in cut]
-        gaps = [i for i, x in enumerate(found) if None in x]
-        if missing := {s for i in gaps for s, ids in zip(cut[i], found[i]) if ids is None}:
-            for s, ids in self.learn(missing).items():
-                (table if len(s) <= CACHE_CHARS else extra)[s] = ids
-            for i in gaps:
-                found[i] = [ids or (table[s] if s in table else extra[s]) for s, ids in zip(cut[i], found[i])]
-        for x in found:
-            yield [*chain.from_iterable(x), self.end]
+        table, collects = self.known, gc.isenabled()
+        gc.disable()  # the many small tuples make no cycles
+        try:
+            new = set(chain.from_iterable(cut)).difference(table)
+            if new:
+                table.update(self.learn(new))
+            out = [[*chain.from_iterable(map(table.__getitem__, segments)), self.end] for segments in cut]
+            for s in new:
+                if len(s) > CACHE_CHARS:
+                    del table[s]
+        finally:
+            if collects:
+                gc.enable()
+        return iter(out)
 
     def encode(self, text: str | None) -> list[int]:
         return next(self.encode_batch([text]))
