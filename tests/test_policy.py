@@ -298,17 +298,17 @@ def test_crawl(spark):
     words = " ".join(f"word{i}" for i in range(12))
 
     def fetch(url):
-        pages = {"a": ("b", "c", "x.pdf"), "b": ("a", "d"), "c": (), "d": ("e",), "e": ()}
+        pages = {"p1": ("p2", "p3", "x.pdf"), "p2": ("p1", "p4"), "p3": (), "p4": ("p5",), "p5": ()}
         name = url.rsplit("/", 1)[-1]
-        if name == "e":
+        if name == "p5":
             raise OSError
         body = "".join(f'<a href="/{x}">{x}</a>' for x in pages[name])
-        return (404 if name == "c" else 200), "text/html; charset=utf-8", f"<p>{'few' if name == 'd' else words}</p>{body}"
+        return (404 if name == "p3" else 200), "text/html; charset=utf-8", f"<p>{'few' if name == 'p4' else words}</p>{body}"
 
-    seeds = spark.createDataFrame([("https://www.example.net/a",), ("https://www.example.net/a/",), ("ftp://x",)], "url string")
+    seeds = spark.createDataFrame([("https://www.example.net/p1",), ("https://www.example.net/p1/",), ("ftp://x",)], "url string")
     rules = dataclasses.replace(SYNTHETIC, hosts=("example.net",))
-    got = {(r.url[-1], r.depth) for r in I.crawl(seeds, fetch, rules).collect()}
-    assert got == {("a", 0), ("b", 1)}  # c isn't there, d has too few words, so e is never met
+    got = {(r.url[-2:], r.depth) for r in I.crawl(seeds, fetch, rules).collect()}
+    assert got == {("p1", 0), ("p2", 1)}  # p3 isn't there, p4 has too few words, so p5 is never met
     assert I.crawl(seeds, fetch, rules, most_pages=1).count() == 1
 
 
