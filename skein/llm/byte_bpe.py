@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 
 import numpy as np
 import regex
@@ -27,6 +28,20 @@ _ODD = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u02af]").search
 CACHE_ENTRIES, CACHE_CHARS = 500_000, 40
 
 
+class _Table(dict):
+    """Ids of pre-tokens, made when first asked for; long pre-tokens' aren't held."""
+
+    def __init__(self, make) -> None:
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.make(piece)
+        if len(piece) <= CACHE_CHARS:
+            self[piece] = ids
+        return ids
+
+
 class ByteBpe:
     def __init__(self, file: str) -> None:
         self.library = Tokenizer.from_file(file)
@@ -34,7 +49,7 @@ class ByteBpe:
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         self.slow = regex.compile(PATTERN).findall
         self.model = self.library.model
-        self.known: dict[str, bytes] = {}
+        self.known = _Table(self._piece)
         # bytes are written as printable characters: those that are printable as themselves, others from U+0100 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.char_of = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
@@ -47,25 +62,20 @@ class ByteBpe:
     def _piece(self, text: str) -> bytes:
         """Ids of one pre-token."""
         shown = text.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.char_of)
-        return np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+        ids = [t.id for t in self.model.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         whole = [t is not None and any(s in t for s in self.special) for t in texts]
-        cut = [[] if t is None or w else self.cut(t) for t, w in zip(texts, whole)]
-        if len(self.known) > CACHE_ENTRIES:
-            self.known.clear()
-        table, extra = self.known, {}
-        for s in {s for x in cut for s in x}.difference(table):
-            (table if len(s) <= CACHE_CHARS else extra)[s] = self._piece(s)
         out = []
-        for t, w, x in zip(texts, whole, cut):
+        for t, w in zip(texts, whole):
+            if len(self.known) > CACHE_ENTRIES:
+                self.known.clear()
             if w:
                 out.append(np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
-            elif extra:
-                out.append(b"".join([table[s] if s in table else extra[s] for s in x]))
             else:
-                out.append(b"".join([table[s] for s in x]))
+                out.append(b"".join(map(self.known.__getitem__, self.cut(t))) if t else b"")
         return out
 
     def encode(self, text: str) -> list[int]:
