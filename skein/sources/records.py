@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import time
@@ -14,6 +15,7 @@ from itertools import islice
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
@@ -214,14 +216,21 @@ def load_index(spark: SparkSession, path: str, terms: list[str] | None = None, b
 
 #: Rows whose hashes are joined in one place, in the mean.
 CHECKSUM_ROWS = 100_000
+#: Hashes in a row of ``_chained``: 8 KB with hashes of 16 characters.
+CHECKSUM_BLOCK = 512
 
 
-def corpus_checksum(chunks: DataFrame, order: str, digest: str) -> DataFrame:
+def corpus_checksum(chunks: DataFrame, order: str, digest: str, whole: bool = False) -> DataFrame:
     """One row: SHA-256 over the chunks' hashes in order.
 
     Up to ``CHECKSUM_ROWS`` the hashes are joined as they are. Those of a larger corpus are dealt
     out by a hash of their place, and the checksum is that of the parts' checksums, so that no
-    task holds more than a part; equal chunks give equal checksums either way."""
+    task holds more than a part; equal chunks give equal checksums either way.
+
+    With ``whole`` the checksum is that of all hashes in one string at any size (null without
+    any), see ``_chained``."""
+    if whole:
+        return _chained(chunks, order, digest)
     joined = lambda x, by: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, x))), lambda r: r[x]), ""), 256)
     parts = -(-chunks.count() // CHECKSUM_ROWS)
     if parts <= 1:
@@ -230,6 +239,46 @@ def corpus_checksum(chunks: DataFrame, order: str, digest: str) -> DataFrame:
     return dealt.agg(joined("own", "part").alias("checksum"))
 
 
+def _chained(chunks: DataFrame, order: str, digest: str) -> DataFrame:
+    """SHA-256 of all hashes joined in order (nulls of ``order`` last), in bounded memory.
+
+    Ranges of ``order`` are sorted side by side and joined to blocks of ``CHECKSUM_BLOCK``
+    hashes. SHA-256 is a chain, so one task reads the blocks in order, as a stream."""
+    size = CHECKSUM_BLOCK
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, at, held = TaskContext.get().partitionId(), 0, []
+
+        def block(some: list[str]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "at": pa.array([at], pa.int64()), "hashes": pa.array(["".join(some)], pa.string())})
+
+        for batch in batches:
+            held += batch.column("digest").to_pylist()
+            while len(held) >= size:
+                yield block(held[:size])
+                held, at = held[size:], at + 1
+        if held:
+            yield block(held)
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, any_ = hashlib.sha256(), False
+        for batch in batches:
+            for text in batch.column("hashes").to_pylist():
+                state.update(text.encode())
+                any_ = True
+        if any_:
+            yield pa.RecordBatch.from_pydict({"checksum": pa.array([state.hexdigest()], pa.string())})
+
+    place = [F.col("place").asc_nulls_last(), F.col("digest").asc()]
+    rows = chunks.select(F.col(order).alias("place"), F.col(digest).alias("digest")).filter("digest is not null")
+    ranges = rows.repartitionByRange(F.col("place").asc_nulls_last()).sortWithinPartitions(*place).select("digest")
+    joined = ranges.mapInArrow(blocks, "part int, at long, hashes string")
+    own = joined.repartition(1).sortWithinPartitions("part", "at").select("hashes").mapInArrow(chain, "checksum string")
+    return own.agg(F.max("checksum").alias("checksum"))
+
+
 MANIFEST = S.StructType([S.StructField(n, S.StringType()) for n in ("version", "corpus_checksum", "lexical_path", "dense_path", "embedding_model", "reranker_model", "built_at")] + [S.StructField("doc_count", S.LongType()), S.StructField("chunk_count", S.LongType())])
 
 

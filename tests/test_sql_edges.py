@@ -1,9 +1,12 @@
 """Queries on small odd tables against their DuckDB SQL."""
 
+import hashlib
+
 import duckdb
 import pytest
 
 from skein.plans import catalogue
+from skein.sources import records as S
 
 BASE = [None, "", " ", "\n", "\u00a0", "\u00a0\n", "\x01", ".", ". .", "\x0b. \x0b", "\u2003One.\u2003 Two. \u3000"]
 
@@ -30,3 +33,19 @@ def test_chunks_keep_the_digits_at_line_ends(same):
     lines = "\n".join(f"{i % 10} line {i} of some words and {i % 10}" for i in range(90))  # line 1 begins and ends with 1
     spaces = "\n".join(f"\u00a0{i} a\u00a0b\x0bc \u2003" for i in range(300))
     assert len(same("chunk_documents", [lines, spaces, "1\n1\n2", "\n\n x \r\n1 y 2"])) > 8
+
+
+def test_checksum_of_a_large_corpus_is_that_of_one_string(same, monkeypatch):
+    monkeypatch.setattr(S, "CHECKSUM_ROWS", 5)
+    monkeypatch.setattr(S, "CHECKSUM_BLOCK", 3, raising=False)
+    same("corpus_checksum", [f"text {i}" for i in range(40)])
+
+
+def test_checksum_in_many_ranges_and_of_nothing(spark, monkeypatch):
+    monkeypatch.setattr(S, "CHECKSUM_BLOCK", 7, raising=False)
+    rows = [(None if i == 5 else i * 37 % 1009 - 400, None if i == 8 else f"{i:016x}") for i in range(1000)]
+    df = spark.createDataFrame(rows, "k long, h string").repartition(5)
+    full = sorted((r for r in rows if r[1]), key=lambda r: (r[0] is None, r[0] or 0))
+    assert S.corpus_checksum(df, "k", "h", whole=True).first()[0] == hashlib.sha256("".join(h for _, h in full).encode()).hexdigest()
+    assert S.corpus_checksum(df.filter("h is null"), "k", "h", whole=True).collect() == [(None,)]
+    assert S.corpus_checksum(df.limit(0), "k", "h", whole=True).collect() == [(None,)]
