@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from skein.functions.text import contains_any, let, sentences, strip
+from skein.functions.text import SPACE, contains_any, let, lower, sentences, strip
 
 # fixed values: markup that answers are rid of, in the order of replacement, and how many rounds
 # nested links take at most
@@ -78,12 +78,19 @@ def strip_markdown(text: Column | str) -> Column:
     return _replaced(_bare_links(F.trim(_c(text))), PLAIN)
 
 
+def distinct_sentences(text: Column | str) -> Column:
+    """The first of equal sentences (case and white space don't tell them apart), in order.
+    Equal ones are found side by side in the order of their keys, not by comparing all pairs."""
+    key = lambda s: F.regexp_replace(lower(s), f"{SPACE}+", " ")
+    keyed = F.array_sort(F.transform(sentences(text), lambda s, i: F.struct(key(s).alias("key"), i.alias("i"), s.alias("s"))))
+    first = let(keyed, lambda rows: F.filter(rows, lambda r, j: F.coalesce(F.get(rows, j - 1)["key"] != r["key"], F.lit(True))))
+    return F.transform(F.array_sort(F.transform(first, lambda r: F.struct(r["i"], r["s"]))), lambda r: r["s"])
+
+
 def dedupe_sentences(text: Column | str) -> Column:
-    """The first of equal sentences stays (case and white space don't tell them apart)."""
-    key = lambda s: F.regexp_replace(F.lower(s), r"\s+", " ")
-    first = lambda parts, keys: F.filter(parts, lambda s, i: F.array_position(keys, F.get(keys, i)) == i + 1)
-    kept = let(sentences(text), lambda parts: let(F.transform(parts, key), lambda keys: F.array_join(first(parts, keys), " ")))
-    return F.when(kept != "", kept).otherwise(F.trim(_c(text)))
+    """The text of its distinct sentences."""
+    kept = F.array_join(distinct_sentences(text), " ")
+    return let(kept, lambda k: F.when(k != "", k).otherwise(F.trim(_c(text))))
 
 
 def drop_sentences(text: Column | str, banned: Sequence[str]) -> tuple[Column, Column]:

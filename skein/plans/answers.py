@@ -108,7 +108,7 @@ _SENT = f"(select doc_id, {Q.sentences('text')} p from documents)"
 
 @query(f"select doc_id, len(p)::bigint n_sentences, len(list_distinct(list_transform(p, lambda s: regexp_replace(lower(s), '\\s+', ' ', 'g'))))::bigint n_distinct from {_SENT}")
 def dedupe_sentences(spark, d):
-    t = table(spark, d, "documents").select("doc_id", T.sentences("text").alias("p"), T.sentences(A.dedupe_sentences("text")).alias("k"))
+    t = table(spark, d, "documents").select("doc_id", T.sentences("text").alias("p"), A.distinct_sentences("text").alias("k"))
     return t.select("doc_id", F.size("p").cast(LONG).alias("n_sentences"), F.size("k").cast(LONG).alias("n_distinct"))
 
 
