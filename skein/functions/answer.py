@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from skein.functions.text import SPACE, contains_any, let, lower, sentences, strip
+from skein.functions.text import SPACE, contains_any, let, lower, sentences, strip, trim
 
 # fixed values: markup that answers are rid of, in the order of replacement, and how many rounds
 # nested links take at most
@@ -121,7 +121,7 @@ def _whole_sentences(parts: Column, size, limit: int, gap: int) -> Column:
 
 def _without_short_tail(words: Column, least: int = 3) -> Column:
     """Words without the short ones at the end (one stays)."""
-    marks = F.transform(words, lambda w, i: F.when((F.length(F.regexp_replace(w, r"^[.,!?;:-]+|[.,!?;:-]+$", "")) >= least) | (i == 0), i + 1).otherwise(0))
+    marks = F.transform(words, lambda w, i: F.when((F.length(F.regexp_replace(w, r"^[.,!?;:-]+|[.,!?;:-]+\z", "")) >= least) | (i == 0), i + 1).otherwise(0))
     return F.slice(words, 1, F.greatest(F.lit(1), F.array_max(marks)))
 
 
@@ -143,10 +143,10 @@ def limit_chars(text: Column | str, most: int) -> tuple[Column, Column]:
 
 def limit_words(text: Column | str, most: int) -> tuple[Column, Column]:
     """At most ``most`` words: whole sentences, else words without a short tail."""
-    words = F.filter(F.split(_c(text), r"\s+"), lambda w: w != "")
-    parts = sentences(F.trim(_c(text)))
-    n = _whole_sentences(parts, lambda s: F.size(F.split(s, r"\s+")), most, 0)
-    short = F.trim(F.regexp_replace(F.array_join(_without_short_tail(F.slice(words, 1, most)), " "), "[,;:-]+$", ""))
+    words = F.filter(F.split(_c(text), f"{SPACE}+"), lambda w: w != "")
+    parts = sentences(text)
+    n = _whole_sentences(parts, lambda s: F.size(F.split(s, f"{SPACE}+")), most, 0)
+    short = trim(F.regexp_replace(F.array_join(_without_short_tail(F.slice(words, 1, most)), " "), r"[,;:-]+\z", ""))
     over = F.size(words) > most
     return F.when(~over, _c(text)).when(n > 0, F.array_join(F.slice(parts, F.lit(1), n), " ")).otherwise(short), over
 

@@ -67,3 +67,8 @@ def test_equal_sentences_are_counted_as_in_sql(same, spark):
     assert len(same("dedupe_sentences", SENTENCES)) > len(SENTENCES)
     df = spark.createDataFrame([("2 B b. A. 1 a.  a. a. 4 B B. c",)], "t string")
     assert df.select(A.dedupe_sentences("t")).first()[0] == "2 B b. A. 1 a. 4 B B. c"
+
+
+def test_word_limits_as_in_sql(same):
+    long = ["4 a " * 12 + "1. 2 b 1. " + "c d " * 30, "\x0b".join("ab" for _ in range(50)), "word-  " * 41, "w " * 38 + "   , ,  x y", "w " * 39 + ". 1 tail 1. more " + "z " * 9]
+    assert len(same("limit_words", [*SENTENCES, *long])) > len(long)
