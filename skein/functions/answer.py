@@ -97,7 +97,7 @@ def drop_sentences(text: Column | str, banned: Sequence[str]) -> tuple[Column, C
     """Without sentences that match a banned pattern, and whether any did; the text itself if
     none is left."""
     parts = sentences(text)
-    bad = lambda s: F.lower(s).rlike("|".join(f"(?:{b})" for b in banned))
+    bad = lambda s: lower(s).rlike("|".join(f"(?:{b})" for b in banned))
     kept = F.filter(parts, lambda s: ~bad(s))
     return F.when(F.size(kept) > 0, F.array_join(kept, " ")).otherwise(_c(text)), F.size(kept) < F.size(parts)
 

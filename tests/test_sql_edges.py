@@ -72,3 +72,7 @@ def test_equal_sentences_are_counted_as_in_sql(same, spark):
 def test_word_limits_as_in_sql(same):
     long = ["4 a " * 12 + "1. 2 b 1. " + "c d " * 30, "\x0b".join("ab" for _ in range(50)), "word-  " * 41, "w " * 38 + "   , ,  x y", "w " * 39 + ". 1 tail 1. more " + "z " * 9]
     assert len(same("limit_words", [*SENTENCES, *long])) > len(long)
+
+
+def test_banned_sentences_as_in_sql(same):
+    same("policy_artifacts", [*SENTENCES, "The: 1. ontİonre 2. 2 left 2.", "a. the b.  the c. d\x01the e"])
