@@ -104,7 +104,7 @@ def drop_sentences(text: Column | str, banned: Sequence[str]) -> tuple[Column, C
 
 def first_sentences(text: Column | str, n: int = 2) -> Column:
     parts = sentences(text)
-    return F.when(F.size(parts) > 0, F.array_join(F.slice(parts, 1, n), " ")).otherwise(F.trim(_c(text)))
+    return F.when(F.size(parts) > 0, F.array_join(F.slice(parts, 1, n), " ")).otherwise(trim(_c(text)))
 
 
 def _whole_sentences(parts: Column, size, limit: int, gap: int) -> Column:

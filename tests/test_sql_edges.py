@@ -76,3 +76,7 @@ def test_word_limits_as_in_sql(same):
 
 def test_banned_sentences_as_in_sql(same):
     same("policy_artifacts", [*SENTENCES, "The: 1. ontİonre 2. 2 left 2.", "a. the b.  the c. d\x01the e"])
+
+
+def test_first_sentences_as_in_sql(same):
+    same("short_speaker", [*SENTENCES, "password. 1b8a61", "  　", "0 a. 1 1. c"])
